@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scenes", "statistics"]
+MODULES = ["scenes", "statistics", "change", "sampling"]
 
 
 def load():

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rasterloom import config as cfg
 from rasterloom.operators import scenes as sc
+from rasterloom.session import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,6 +100,12 @@ def composite(spark, d) -> DataFrame:
     return sc.build_composite(obs(spark, d), scenes(spark, d), YEARS)
 
 
+def composite_table(spark, d) -> DataFrame:
+    """The composite, materialised once for operators that scan it several
+    times (a written Parquet table in production)."""
+    return checkpoint(composite(spark, d))
+
+
 def pixels(spark, d) -> DataFrame:
     """Raw yearly scene: the full grid of orders left-joined with the median
     digital numbers of each calendar year; no observation means missing."""

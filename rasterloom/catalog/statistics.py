@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom import config as cfg
 from rasterloom.catalog.base import (
-    YEARS, composite, grid, landcover, landsat, obs, observations, pixels, query, rd, rounded, rq,
+    YEARS, composite, composite_table, grid, landcover, landsat, obs, observations, pixels, query, rd, rounded, rq,
 )
 from rasterloom.functions import spectral as sp
 from rasterloom.functions.columns import european_number
@@ -47,12 +47,12 @@ def quality_table(spark, d):
 
 @query("feature_stats", f"SELECT feature, {_STATS} FROM ({_LONG9}) GROUP BY feature", needs=("composite",))
 def feature_stats(spark, d):
-    return rounded(st.feature_statistics(composite(spark, d), F9), *_STAT_COLS)
+    return rounded(st.feature_statistics(composite_table(spark, d), F9), *_STAT_COLS)
 
 
 @query("feature_stats_by_year", f"""SELECT "year", feature, {_STATS} FROM ({_LONG9}) GROUP BY 1, 2""", needs=("composite",))
 def feature_stats_by_year(spark, d):
-    return rounded(st.feature_statistics(composite(spark, d), F9, ["year"]), *_STAT_COLS)
+    return rounded(st.feature_statistics(composite_table(spark, d), F9, ["year"]), *_STAT_COLS)
 
 
 _PAIRS = [(a, b) for i, a in enumerate(F9) for b in F9[i + 1:]]
@@ -98,7 +98,7 @@ _P = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 SELECT "year", count(NDBI) AS n, {rq('avg(NDBI)')} AS mean, {rq('stddev_pop(NDBI)')} AS std,
   {', '.join(f"{rq(f'quantile_cont(NDBI, {p})')} AS {n}" for n, p in _P.items())} FROM composite GROUP BY "year" """, needs=("composite",))
 def ndbi_summary(spark, d):
-    return rounded(st.value_summary(composite(spark, d), "NDBI"), "mean", "std", *_P)
+    return rounded(st.value_summary(composite_table(spark, d), "NDBI"), "mean", "std", *_P)
 
 
 @query("index_by_year", f"""
@@ -107,7 +107,7 @@ SELECT "year", {rq('quantile_cont(NDBI, 0.5)')} AS median, {rq('avg(NDBI)')} AS
 FROM composite GROUP BY "year" """, needs=("composite",))
 def index_by_year(spark, d):
     """Median, mean and positive share compared over the years."""
-    c = composite(spark, d)
+    c = composite_table(spark, d)
     summary = st.value_summary(c, "NDBI", probs=(0.5,)).select("year", F.col("p50").alias("median"), "mean")
     return rounded(summary.join(st.positive_share(c), "year"), "median", "mean", "positive_pct")
 
@@ -125,7 +125,7 @@ def yearly_trend(spark, d):
 SELECT l.feature, CAST(least(59, coalesce(floor((value - lo) / nullif((hi - lo) / 60, 0)), 0)) AS INT) AS bin, count(*) AS n,
   {rq('min(value)')} AS min_value, {rq('max(value)')} AS max_value FROM l JOIN s ON l.feature = s.feature GROUP BY 1, 2""", needs=("composite",))
 def equal_width_hist(spark, d):
-    return rounded(st.equal_width_histogram(composite(spark, d), F9), "min_value", "max_value")
+    return rounded(st.equal_width_histogram(composite_table(spark, d), F9), "min_value", "max_value")
 
 
 @query("boxplot_stats", f"""
@@ -137,7 +137,7 @@ SELECT l.feature, {rq('any_value(p25)')} AS p25, {rq('any_value(median)')} AS me
   CAST(count_if(value NOT BETWEEN p25 - 1.5 * (p75 - p25) AND p75 + 1.5 * (p75 - p25)) AS BIGINT) AS n_outliers
 FROM l JOIN q ON l.feature = q.feature GROUP BY 1""", needs=("composite",))
 def boxplot_stats(spark, d):
-    return rounded(st.boxplot_statistics(composite(spark, d), F9), "p25", "median", "p75", "whisker_low", "whisker_high")
+    return rounded(st.boxplot_statistics(composite_table(spark, d), F9), "p25", "median", "p75", "whisker_low", "whisker_high")
 
 
 @query("stretch", f"""
@@ -145,7 +145,7 @@ def boxplot_stats(spark, d):
 SELECT "year", "row", col, {rq('least(1, greatest(0, (B4 - l4) / nullif(h4 - l4, 0)))')} AS B4,
   {rq('least(1, greatest(0, (B3 - l3) / nullif(h3 - l3, 0)))')} AS B3 FROM composite, q""", needs=("composite",))
 def stretch(spark, d):
-    c = composite(spark, d).select("year", "row", "col", "B4", "B3")
+    c = composite_table(spark, d).select("year", "row", "col", "B4", "B3")
     return rounded(st.percentile_stretch(c, ["B4", "B3"]), "B4", "B3")
 
 
