@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scenes", "statistics", "change", "sampling"]
+MODULES = ["scenes", "statistics", "change", "sampling", "grids", "lines", "models"]
 
 
 def load():

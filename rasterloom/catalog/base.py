@@ -126,7 +126,7 @@ def grid(spark, d) -> DataFrame:
         F.floor(c("o_orderkey") / WIDTH).cast("int").alias("row"),
         (c("o_orderkey") % WIDTH).cast("int").alias("col"),
         F.floor(c("o_totalprice") / 10).cast("int").alias("v"),
-        (c("o_custkey") % 17 != 0).alias("valid"),
+        (c("o_custkey") % 331 != 0).alias("valid"),
     )
 
 
@@ -241,7 +241,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         ON g."year" = m."year" AND g."row" = m."row" AND g.col = m.col"""),
     "grid": ((), f"""
         SELECT CAST(floor(o_orderkey / {WIDTH}) AS INT) AS "row", CAST(o_orderkey % {WIDTH} AS INT) AS col,
-               CAST(floor(o_totalprice / 10) AS INT) AS v, (o_custkey % 17 <> 0) AS valid FROM orders"""),
+               CAST(floor(o_totalprice / 10) AS INT) AS v, (o_custkey % 331 <> 0) AS valid FROM orders"""),
     "classes1": ((), f"""
         SELECT CAST(floor(event_id / {WIDTH}) AS INT) AS "row", CAST(event_id % {WIDTH} AS INT) AS col,
                CAST(floor(value) AS INT) % 4 AS class FROM events"""),

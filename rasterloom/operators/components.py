@@ -95,24 +95,24 @@ def _merge_labels(edges: DataFrame, keys: list[str]) -> DataFrame | None:
     neighbour, if smaller than itself, and follows that neighbour's own
     choice; edges are rewritten to the survivors. Rounds are checkpointed and
     the graph at least halves about every round."""
-    mapping = None
+    steps = []
     edges = checkpoint(edges)
     while not edges.isEmpty():
         choice = edges.groupBy(*keys, "u").agg(F.least(F.col("u"), F.min("v")).alias("p"))
-        choice = checkpoint(choice)
         onward = choice.select(*keys, F.col("u").alias("p"), F.col("p").alias("root"))
         step = checkpoint(_salted_lookup(choice, onward, [*keys, "p"], "u").select(*keys, "u", "root"))
-        if mapping is None:
-            mapping = step.withColumnRenamed("u", "component")
-        else:
-            later = step.withColumnRenamed("root", "_next").withColumnRenamed("u", "root")
-            moved = mapping.join(later, [*keys, "root"], "left")
-            mapping = moved.select(*keys, "component", F.coalesce("_next", "root").alias("root"))
-        mapping = checkpoint(mapping)
+        steps.append(step)
         u = _salted_lookup(edges, step, [*keys, "u"], "v").select(*keys, F.col("root").alias("_u"), "v")
         second = step.withColumnRenamed("u", "v")
         v = _salted_lookup(u, second, [*keys, "v"], "_u").select(*keys, F.col("_u").alias("u"), F.col("root").alias("v"))
         edges = checkpoint(v.where("u <> v").distinct())
+    if not steps:
+        return None
+    mapping = steps[0].withColumnRenamed("u", "component")
+    for step in steps[1:]:
+        later = step.withColumnRenamed("root", "_next").withColumnRenamed("u", "root")
+        moved = mapping.join(later, [*keys, "root"], "left")
+        mapping = moved.select(*keys, "component", F.coalesce("_next", "root").alias("root"))
     return mapping
 
 

@@ -120,11 +120,11 @@ def halo_tiles(
     if not dense:
         df = densify(df, extent, keys)
     placed = (
-        df.withColumn("_y", F.explode(_axis_targets(F.col("row"), extent.rows, radius, mode, tile)))
-        .withColumn("_x", F.explode(_axis_targets(F.col("col"), extent.cols, radius, mode, tile)))
+        df.withColumn("_halo_r", F.explode(_axis_targets(F.col("row"), extent.rows, radius, mode, tile)))
+        .withColumn("_halo_c", F.explode(_axis_targets(F.col("col"), extent.cols, radius, mode, tile)))
         .select(
-            *keys, F.col("_y.t").alias("_tr"), F.col("_x.t").alias("_tc"),
-            F.col("_y.p").alias("_r"), F.col("_x.p").alias("_c"), *values,
+            *keys, F.col("_halo_r.t").alias("_tr"), F.col("_halo_c.t").alias("_tc"),
+            F.col("_halo_r.p").alias("_r"), F.col("_halo_c.p").alias("_c"), *values,
         )
         .repartition(*keys, "_tr", "_tc")
     )

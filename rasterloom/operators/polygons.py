@@ -39,7 +39,7 @@ def rasterize_polygon(edges: DataFrame, affine) -> DataFrame:
     first = F.floor((hi - F.lit(f)) / F.lit(e) - 0.5) + 1
     last = F.floor((lo - F.lit(f)) / F.lit(e) - 0.5)
     cut = edges.where(F.col("y1") != F.col("y2")).withColumns({"_a": first, "_b": last})
-    rows = cut.where("_a <= _b").withColumn("row", F.explode(F.sequence("_a", "_b")).cast("int"))
+    rows = cut.where("_a <= _b").withColumn("row", F.explode(F.sequence(F.col("_a").cast("int"), F.col("_b").cast("int"))))
     y = F.lit(f) + (F.col("row") + 0.5) * F.lit(e)
     at = F.col("x1") + (y - F.col("y1")) * ((F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
     w = Window.partitionBy(*poly, "row").orderBy("x")
@@ -52,4 +52,4 @@ def rasterize_polygon(edges: DataFrame, affine) -> DataFrame:
     start = F.ceil((F.col("x") - F.lit(c)) / F.lit(a) - 0.5)
     stop = F.ceil((F.col("x_next") - F.lit(c)) / F.lit(a) - 0.5) - 1
     spans = pairs.select(*poly, "row", start.alias("_s"), stop.alias("_e")).where("_s <= _e")
-    return spans.select(*poly, "row", F.explode(F.sequence("_s", "_e")).cast("int").alias("col"))
+    return spans.select(*poly, "row", F.explode(F.sequence(F.col("_s").cast("int"), F.col("_e").cast("int"))).alias("col"))

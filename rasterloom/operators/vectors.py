@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom import config as cfg
 from rasterloom.functions import geo
@@ -234,7 +235,9 @@ def _row_minimum(src: np.ndarray, base: np.ndarray, out: np.ndarray) -> np.ndarr
     return best
 
 
-@F.pandas_udf("bearing_deg double, length double, width double")
+AXIS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("bearing_deg", "length", "width")])
+
+
 def _rotated_box(rings: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Smallest rotated rectangle of each ring: one side lies on an edge of
     the convex hull."""
@@ -273,4 +276,5 @@ def principal_axis(polygons: DataFrame, coords: str = "coords") -> DataFrame:
     of each polygon (one row = one polygon)."""
     xs, ys = F.transform(coords, lambda p: p["x"]), F.transform(coords, lambda p: p["y"])
     rest = [c for c in polygons.columns if c != coords]
-    return polygons.select(*rest, _rotated_box(xs, ys).alias("b")).select(*rest, "b.*")
+    box = F.pandas_udf(_rotated_box, AXIS)
+    return polygons.select(*rest, box(xs, ys).alias("b")).select(*rest, "b.*")
