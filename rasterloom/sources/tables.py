@@ -50,7 +50,7 @@ def read_csv(spark: SparkSession, path: str, declared: str | T.StructType | None
     """CSV with a header; a byte-order mark before the first name is cut."""
     reader = spark.read.option("header", True)
     df = reader.csv(path) if declared is None else reader.schema(declared).option("enforceSchema", True).csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def read_training_points(spark: SparkSession, base: str) -> DataFrame | None:
