@@ -12,6 +12,7 @@ from rasterloom import config as cfg
 from rasterloom.functions.columns import is_close
 from rasterloom.functions.geo import polygon_edges
 from rasterloom.functions.spectral import add_indices, reflectance, scl_clear
+from rasterloom.session import broadcast_if_small, checkpoint
 
 
 def dry_season(year: int) -> tuple[str, str]:
@@ -85,23 +86,57 @@ def mask_clouds(obs: DataFrame, scl: str = "scl") -> DataFrame:
     return obs.where(scl_clear(F.col(scl)))
 
 
+# A pixel with about this many observations is handled by counters.
+HOT_ROWS = 500_000
+
+
+def _hot_pixels(obs: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Pixels that may hold very many observations, from a thin probe of the
+    key columns. The probe only chooses the method; both methods are exact.
+    It is materialised, so both branches see the same list."""
+    share = min(1.0, 1000 / hot_rows)
+    probe = obs.select(*keys).sample(fraction=share, seed=cfg.SEED) if share < 1 else obs.select(*keys)
+    counts = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = checkpoint(counts.where(F.col("_n") >= hot_rows * share / 2).select(*keys))
+    return None if hot.isEmpty() else hot
+
+
 def median_composite(
     obs: DataFrame,
     keys: Sequence[str] = ("year", "row", "col"),
     bands: Sequence[str] = tuple(cfg.BANDS),
     scale: bool = True,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per-pixel median over the masked observations, with the number of
-    observations next to it. The exact median keeps one counter per distinct
-    digital number, at most 10 001, so a pixel holding a large share of all
-    rows is pre-aggregated on the map side and stays small."""
+    observations next to it.
+
+    Raw rows are shuffled once by pixel and each pixel's few dozen values are
+    sorted; partial buffers would only make the shuffle larger, as one task
+    rarely sees a pixel twice. A pixel holding a large share of all rows goes
+    another way: exact medians from counters per distinct digital number (at
+    most 10 001), combined before the shuffle."""
+    keys = list(keys)
+
     def finish(c):
         return reflectance(c) if scale else c
 
-    return obs.groupBy(*keys).agg(
-        *[finish(F.median(b)).alias(b) for b in bands],
-        F.count(F.lit(1)).alias("n_obs"),
-    )
+    def middle(b):
+        a, n = F.col(b), F.size(b)
+        low, high = F.get(a, F.floor((n - 1) / 2).cast("int")), F.get(a, F.floor(n / 2).cast("int"))
+        return finish((low + high) / 2).alias(b)
+
+    def usual(df):
+        sorted_values = df.repartition(*keys).groupBy(*keys).agg(
+            *[F.sort_array(F.collect_list(b)).alias(b) for b in bands], F.count(F.lit(1)).alias("n_obs"))
+        return sorted_values.select(*keys, *[middle(b) for b in bands], "n_obs")
+
+    hot = _hot_pixels(obs, keys, hot_rows)
+    if hot is None:
+        return usual(obs)
+    counted = obs.join(broadcast_if_small(hot), keys, "left_semi").groupBy(*keys).agg(
+        *[finish(F.median(b)).alias(b) for b in bands], F.count(F.lit(1)).alias("n_obs"))
+    return usual(obs.join(broadcast_if_small(hot), keys, "left_anti")).unionByName(counted)
 
 
 def build_composite(obs, scenes, years, **options) -> DataFrame:

@@ -58,13 +58,13 @@ def glcm(
 
     i = bits(0)
     js = [bits(k) for k in range(1, 5)]
-    long = lambda c: c.cast("bigint")
-    one = F.lit(1).cast("bigint")
+    def long(c):
+        return c.cast("bigint")
+
+    one = long(F.lit(1))
     bytes_ = None
     for j in js:
-        term = F.expr("0L")
-        for b in reversed(range(LEVELS)):
-            term = F.when(j == b, F.lit(1 << (8 * b)).cast("bigint")).otherwise(term)
+        term = F.call_function("shiftleft", one, 8 * j)
         bytes_ = term if bytes_ is None else bytes_ + term
     diffs = [F.abs(i - j) for j in js]
     def add(parts):
@@ -74,7 +74,7 @@ def glcm(
         long(add([d * d for d in diffs])).alias("_con"), long(add(diffs)).alias("_dis"),
         add([1.0 / (1.0 + d * d) for d in diffs]).alias("_hom"),
     )
-    zero = F.expr("0L")
+    zero = long(F.lit(0))
     counters = [f"_n{a}" for a in range(LEVELS)]
     sums = [*counters, "_con", "_dis", "_hom"]
     base = base.select(*t.id_columns, *[
@@ -85,14 +85,13 @@ def glcm(
     base = base.select(*t.id_columns, *[F.sum(s).over(across).alias(s) for s in sums])
     base = base.select(*t.id_columns, *[F.sum(s).over(down).alias(s) for s in sums])
 
-    table = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(PAIRS + 1)])
     own = t.own(base, sums)
-    weight = None
-    for c in counters:
-        for b in range(LEVELS):
-            n = F.shiftright(c, 8 * b).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
-            term = F.element_at(table, n + 1)
-            weight = term if weight is None else weight + term
+    low = long(F.lit(255))
+    counts = F.array(*[
+        F.shiftright(c, 8 * b).bitwiseAND(low).cast("double") for c in counters for b in range(LEVELS)
+    ])
+    # log2(0) is NULL, and such a pair adds nothing
+    weight = F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + F.coalesce(n * F.log2(n), F.lit(0.0)))
     return own.select(
         *keys, "row", "col",
         (F.col("_con") / PAIRS).alias("glcm_contrast"),
