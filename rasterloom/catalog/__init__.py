@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scenes", "statistics", "change", "sampling", "grids", "lines", "models"]
+MODULES = ["scenes", "statistics", "change", "sampling", "grids", "lines", "models", "reports"]
 
 
 def load():
