@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterloom import config as cfg
-from rasterloom.catalog.base import AFFINE, composite, grid, labelled, pixels, points, query, rd, rounded, rq
+from rasterloom.catalog.base import AFFINE, composite, composite_table, grid, labelled, pixels, points, query, rd, rounded, rq
 from rasterloom.operators import change as ch, points as pt, sampling as sa, validity as va
 
 _KEY = """"row" || ':' || col"""
@@ -15,7 +15,7 @@ _KEY = """"row" || ':' || col"""
 SELECT "year", "row", col, {rq('NDVI')} AS NDVI FROM (SELECT *, row_number() OVER (PARTITION BY "year" ORDER BY md5((42 + "year") || ':' || {_KEY})) AS rn FROM composite)
 WHERE rn <= 500""", needs=("composite",))
 def reservoir_sample(spark, d):
-    return rounded(sa.sample_pixels(composite(spark, d).select("year", "row", "col", "NDVI"), 500), "NDVI")
+    return rounded(sa.sample_pixels(composite_table(spark, d).select("year", "row", "col", "NDVI"), 500), "NDVI")
 
 
 _L98 = """, l AS (SELECT * FROM labelled WHERE "year" = 1998)"""

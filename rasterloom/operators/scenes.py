@@ -90,7 +90,7 @@ def mask_clouds(obs: DataFrame, scl: str = "scl") -> DataFrame:
 HOT_ROWS = 500_000
 
 
-def _hot_pixels(obs: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+def hot_pixels(obs: DataFrame, keys: Sequence[str] = ("row", "col"), hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Pixels that may hold very many observations, from a thin probe of the
     key columns. The probe only chooses the method; both methods are exact.
     It is materialised, so both branches see the same list."""
@@ -106,6 +106,7 @@ def median_composite(
     keys: Sequence[str] = ("year", "row", "col"),
     bands: Sequence[str] = tuple(cfg.BANDS),
     scale: bool = True,
+    hot: DataFrame | None | str = "probe",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per-pixel median over the masked observations, with the number of
@@ -115,7 +116,8 @@ def median_composite(
     sorted; partial buffers would only make the shuffle larger, as one task
     rarely sees a pixel twice. A pixel holding a large share of all rows goes
     another way: exact medians from counters per distinct digital number (at
-    most 10 001), combined before the shuffle."""
+    most 10 001), combined before the shuffle. `hot` lists such pixels; by
+    default the observations are probed for them."""
     keys = list(keys)
 
     def finish(c):
@@ -131,18 +133,22 @@ def median_composite(
             *[F.sort_array(F.collect_list(b)).alias(b) for b in bands], F.count(F.lit(1)).alias("n_obs"))
         return sorted_values.select(*keys, *[middle(b) for b in bands], "n_obs")
 
-    hot = _hot_pixels(obs, keys, hot_rows)
+    if isinstance(hot, str):
+        hot = hot_pixels(obs, [k for k in keys if k in ("row", "col")], hot_rows)
     if hot is None:
         return usual(obs)
-    counted = obs.join(broadcast_if_small(hot), keys, "left_semi").groupBy(*keys).agg(
+    place, few = hot.columns, broadcast_if_small(hot)
+    counted = obs.join(few, place, "left_semi").groupBy(*keys).agg(
         *[finish(F.median(b)).alias(b) for b in bands], F.count(F.lit(1)).alias("n_obs"))
-    return usual(obs.join(broadcast_if_small(hot), keys, "left_anti")).unionByName(counted)
+    return usual(obs.join(few, place, "left_anti")).unionByName(counted)
 
 
 def build_composite(obs, scenes, years, **options) -> DataFrame:
-    """Scene selection, cloud mask, median, reflectance and indices."""
+    """Scene selection, cloud mask, median, reflectance and indices. The
+    probe for crowded pixels reads two columns of the raw table."""
+    hot = hot_pixels(obs)
     chosen = mask_clouds(select_observations(obs, scenes, years, **options))
-    return add_indices(median_composite(chosen))
+    return add_indices(median_composite(chosen, hot=hot))
 
 
 def sensor_ndbi(obs: DataFrame, swir: str, nir: str, keys=("year", "row", "col")) -> DataFrame:
