@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rasterloom import config as cfg, sinks
 from rasterloom.catalog import load
 from rasterloom.operators import features as fe, focal, scenes as sc
-from rasterloom.plans import airport, change_analysis, eda
+from rasterloom.plans import eda, land_change, site
 from rasterloom.session import broadcast_if_small, checkpoint
 from rasterloom.sources import tables as tb, vectors as vs
 from rasterloom.streaming import incremental as inc
@@ -178,14 +178,14 @@ def test_change_plan(spark, folder):
     labels = classes_of(p.where("year = 2020")).select("row", "col", lookup[F.col("class")].alias("wc"))
     region = (F.col("row") < 8) & (F.col("col") < 30)
     args = dict(reference_year=2020, hand_year=2022, hand_region=region, year_from=2020, year_to=2022, per_class=60, trees=10)
-    out = change_analysis.run(obs, scenes, labels, [2020, 2022], f"{folder}/change", **args)
+    out = land_change.run(obs, scenes, labels, [2020, 2022], f"{folder}/change", **args)
     assert out["accuracy"].first().oa > 0.95
     area = {(r.year, r["class"]): r.n for r in out["class_area"].collect()}
     assert area[2020, 3] == pytest.approx(160, abs=10) and area[2022, 3] == pytest.approx(280, abs=10)
     assert out["transition_flows"].first().flow == "Vegetation → Built-up"
     assert sum(r.ha for r in out["transition"].collect()) == pytest.approx(N * N * 0.01)
     stamp = {q: q.stat().st_mtime_ns for q in Path(folder, "change", "classified").rglob("*.parquet")}
-    change_analysis.run(obs, scenes, labels, [2020, 2022], f"{folder}/change", **args)
+    land_change.run(obs, scenes, labels, [2020, 2022], f"{folder}/change", **args)
     assert stamp == {q: q.stat().st_mtime_ns for q in Path(folder, "change", "classified").rglob("*.parquet")}
 
 
@@ -193,17 +193,17 @@ def test_site_plan(spark, folder):
     p = pixels(spark)
     scaled = p.withColumns({b: F.col(b) / 10000 for b in cfg.BANDS})
     extent = focal.Extent(N, N)
-    features, edges, limits = airport.scene_features(scaled, extent, tile=32)
+    features, edges, limits = site.scene_features(scaled, extent, tile=32)
     features, edges = checkpoint(features), checkpoint(edges)
     assert features.count() == 2 * N * N and limits.count() == 2 and not edges.isEmpty()
     labels = classes_of(p.where("year = 2020")).select("row", "col", "class")
-    scores, classified = airport.class_maps(features, labels, 2020, trees=10, per_class=60, minimum=20)
+    scores, classified = site.class_maps(features, labels, 2020, trees=10, per_class=60, minimum=20)
     assert scores.count() == 3 and scores.agg(F.max("oa")).first()[0] > 0.9
     classified = checkpoint(classified)
     roads = spark.createDataFrame([(1, 600000.0, 1199700.0, 600400.0, 1199700.0)], "fid int, x1 double, y1 double, x2 double, y2 double")
-    rings, bands = airport.zone_tables(classified, [2020, 2022], AFFINE, (600200.0, 1199800.0), roads, extent)
+    rings, bands = site.zone_tables(classified, [2020, 2022], AFFINE, (600200.0, 1199800.0), roads, extent)
     assert rings.count() == 48 and bands.agg(F.sum("zone_ha")).first()[0] == pytest.approx(2 * N * N * 0.01)
-    summary, grouped, axis, lines = airport.line_analysis(edges, classified, AOI, AFFINE, extent, min_length_m=60)
+    summary, grouped, axis, lines = site.line_analysis(edges, classified, AOI, AFFINE, extent, min_length_m=60)
     assert axis.count() == 2 and summary.count() == 2 and lines.count() > 0
     assert axis.where("year = 2022").first().px == pytest.approx(280, abs=15)
 
