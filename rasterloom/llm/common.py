@@ -28,10 +28,14 @@ __all__ = ["NO_ID", "WHITE", "checkpoint", "documents", "id_out", "Memo", "memo"
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text binary): the UTF-8 bytes of every text, without nulls."""
-    return df.select(
+    return df.select(*documents_columns(id_col, text_col))
+
+
+def documents_columns(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    return [
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"),
-    )
+    ]
 
 
 def id_out(name: str = "doc_id") -> Column:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_stream, chat_format, host_rules, token_files, url_filter
+from . import bpe_stream, chat_format, decontaminate, host_rules, minhash, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
 from .common import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,13 @@ def read(spark, d, table):
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+@query("op1_toxicity")
+def op1(spark, d):
+    docs = read(spark, d, "documents")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, read(spark, d, "labels")))
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+
+
 @query("op2_token_files")
 def op2(spark, d):
     folder = shared_folder(spark, "tokens")
@@ -42,6 +49,16 @@ def op2(spark, d):
     return token_files.read_documents(spark, manifest).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+@query("op3_suffix_dedup")
+def op3(spark, d):
+    return suffix_dedup.remove_repeats(read(spark, d, "documents"), digest=True)
+
+
+@query("op4_minhash")
+def op4(spark, d):
+    return minhash.near_duplicates(read(spark, d, "documents"))
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 _OP5 = r"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
@@ -77,6 +94,11 @@ def op6(spark, d):
     return url_filter.judge(read(spark, d, "pages"), URL_RULES, url_filter.labelled_urls(spark))
 
 
+@query("op7_decontaminate")
+def op7(spark, d):
+    return decontaminate.find_leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
 @query("op8_chat_format")
 def op8(spark, d):
     text = "\\### Assistant: </turn> ok"
@@ -90,3 +112,8 @@ def op8(spark, d):
 def op9(spark, d):
     encoded = bpe_stream.encode_documents(read(spark, d, "documents"), public_tokenizers.path(TOKENIZER))
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op10_substring_dedup")
+def op10(spark, d):
+    return substring_dedup.remove_repeats(read(spark, d, "documents"), digest=True)
