@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document, the one with the smallest id, of each near-duplicate group."""
     found = minhash.near_duplicates(docs)
     gone = checkpoint(found.where("NOT kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone")).distinct())
-    return docs.join(gone, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == gone["_gone"], "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -280,4 +280,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     apart by id; the ids to remove are a written table, which Spark sends out
     only if its size allows."""
     leaks = checkpoint(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_leak")).distinct())
-    return docs.join(leaks, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col("_leak"), "left_anti")
+    return docs.join(leaks, F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(NO_ID)) == leaks["_leak"], "left_anti")
