@@ -112,9 +112,9 @@ def pixels(spark, d) -> DataFrame:
     c = F.col
     grid = read(spark, d, "orders").select(
         F.floor(c("o_orderkey") / WIDTH).cast("int").alias("row"), (c("o_orderkey") % WIDTH).cast("int").alias("col"),
-        F.explode(F.array(*[F.lit(y) for y in YEARS[:3]])).alias("year"),
+        F.explode(F.array(*[F.lit(y) for y in YEARS])).alias("year"),
     )
-    o = sc.mask_clouds(obs(spark, d)).withColumn("year", F.year("ts")).where(c("year").isin(YEARS[:3]))
+    o = sc.mask_clouds(obs(spark, d)).withColumn("year", F.year("ts")).where(c("year").isin(YEARS))
     med = sc.median_composite(o, scale=False).drop("n_obs")
     return grid.join(med, ["year", "row", "col"], "left")
 
@@ -234,7 +234,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "pixels": (("obs",), f"""
         SELECT g."year", g."row", g.col, m.B2, m.B3, m.B4, m.B8, m.B11, m.B12
         FROM (SELECT y."year", CAST(floor(o_orderkey / {WIDTH}) AS INT) AS "row", CAST(o_orderkey % {WIDTH} AS INT) AS col
-              FROM orders, (SELECT unnest([{', '.join(map(str, YEARS[:3]))}]) AS "year") y) g
+              FROM orders, (SELECT unnest([{', '.join(map(str, YEARS))}]) AS "year") y) g
         LEFT JOIN (SELECT CAST(year(ts) AS INT) AS "year", "row", col, median(B2) AS B2, median(B3) AS B3, median(B4) AS B4,
                           median(B8) AS B8, median(B11) AS B11, median(B12) AS B12
                    FROM obs WHERE scl NOT IN (3, 8, 9, 10) GROUP BY 1, 2, 3) m

@@ -187,13 +187,13 @@ def near_box(spark, d):
     return segments(spark, d).where(ve.near_box(F.col("x1"), F.col("y1"), box, 150.0)).select("fid")
 
 
-_CELLS = """, sn AS (SELECT *, CAST(greatest(1, ceil(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 2.5)) AS INT) AS n FROM segments WHERE highway IN ('motorway')),
+_CELLS = """, sn AS (SELECT *, CAST(greatest(1, ceil(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 2.5)) AS INT) AS n FROM segments WHERE highway IN ('motorway', 'trunk', 'primary', 'secondary')),
  cells AS (SELECT DISTINCT CAST(floor((y1 + (y2 - y1) * (i / n::DOUBLE) - 1200000.0::DOUBLE) / -10.0::DOUBLE) AS INT) AS "row", CAST(floor((x1 + (x2 - x1) * (i / n::DOUBLE) - 600000.0::DOUBLE) / 10.0::DOUBLE) AS INT) AS col
    FROM (SELECT *, unnest(range(n + 1)) AS i FROM sn))"""
 
 
 def _cells(spark, d):
-    roads = ve.filter_features(segments(spark, d), highway=["motorway"])
+    roads = ve.filter_features(segments(spark, d), highway=cfg.ROAD_CLASSES)
     return ve.rasterize_lines(roads, AFFINE)
 
 
@@ -202,13 +202,12 @@ def rasterize_lines(spark, d):
     return _cells(spark, d)
 
 
-_DIST = _CELLS + """, near AS (SELECT g."row", g.col, min(sqrt(pow(g."row" - c."row", 2) + pow(g.col - c.col, 2)) * 10) AS distance FROM grid g CROSS JOIN cells c
-  WHERE c."row" BETWEEN -20 AND (SELECT max("row") + 20 FROM grid) AND c.col BETWEEN -20 AND (SELECT max(col) + 20 FROM grid) GROUP BY 1, 2)"""
+_DIST = _CELLS + """, near AS (SELECT g."row", g.col, min(sqrt(pow(g."row" - c."row", 2) + pow(g.col - c.col, 2)) * 10) AS distance FROM grid g CROSS JOIN cells c GROUP BY 1, 2)"""
 
 
 def _distance(spark, d):
     g = grid(spark, d)
-    return ve.nearest_distance(g, _cells(spark, d), focal.raster_extent(g), pad=20)
+    return ve.nearest_distance(g, _cells(spark, d), focal.raster_extent(g))
 
 
 @query("road_distance", _DIST + f"""SELECT "row", col, {rq('distance')} AS distance FROM near""", needs=("grid", "segments"))

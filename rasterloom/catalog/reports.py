@@ -10,16 +10,11 @@ from rasterloom.catalog.statistics import _LONG9
 from rasterloom.functions.columns import hash_key
 from rasterloom.operators import sampling as sa, scenes as sc, statistics as st, validity as va
 
-_BANDS = "".join(f"'{b} ✓' || chr(10) || " for b in cfg.BANDS)
-
-
 @query("qc_report", f"""
-SELECT "year", '========== DATA QUALITY REPORT ==========' || chr(10) || chr(10) || 'Year: ' || "year" || chr(10) || chr(10)
- || format('Total pixels: {{:,}}', CAST(total AS BIGINT)) || chr(10) || format('Valid pixels: {{:,}}', valid) || chr(10) || format('Missing pixels: {{:,}}', CAST(total - valid AS BIGINT)) || chr(10)
- || format('Missing percentage: {{:.3f}}%', 100.0::DOUBLE * (total - valid) / total) || chr(10) || chr(10) || 'Bands:' || chr(10)
- || {_BANDS}chr(10) || 'Indices:' || chr(10) || 'NDVI ✓' || chr(10) || 'NDBI ✓' || chr(10) || 'NDWI ✓' || chr(10) || chr(10)
- || 'CRS: EPSG:32648' || chr(10) || 'Resolution: 10.00 x 10.00 m' || chr(10) || chr(10) || '==========================================' AS report
-FROM (SELECT "year", (max("row") + 1) * (max(col) + 1) AS total, count(B2) AS valid FROM pixels GROUP BY "year")""", needs=("pixels",))
+SELECT "year", format('year {{}}, grid {{}} x {{}}', "year", w, h) || chr(10)
+ || format('pixels {{}} = {{}} with data + {{}} without ({{:.3f}} %)', CAST(w * h AS BIGINT), valid, CAST(w * h - valid AS BIGINT), 100.0::DOUBLE * (w * h - valid) / (w * h)) || chr(10)
+ || 'layers {' '.join(cfg.BANDS)} {' '.join(cfg.INDICES)}' || chr(10) || 'EPSG:32648, cells of 10.00 by 10.00' AS report
+FROM (SELECT "year", CAST(max("row") + 1 AS BIGINT) AS h, CAST(max(col) + 1 AS BIGINT) AS w, count(B2) AS valid FROM pixels GROUP BY "year")""", needs=("pixels",))
 def qc_report(spark, d):
     p = pixels(spark, d)
     return sinks.qc_report(sc.raster_metadata(p, AFFINE, cfg.BANDS, "EPSG:32648"), st.band_statistics(p))

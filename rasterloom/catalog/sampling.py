@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterloom import config as cfg
-from rasterloom.catalog.base import AFFINE, composite, composite_table, grid, labelled, pixels, points, query, rd, rounded, rq
+from rasterloom.catalog.base import AFFINE, YEARS, composite, composite_table, grid, labelled, pixels, points, query, rd, rounded, rq
 from rasterloom.operators import change as ch, points as pt, sampling as sa, validity as va
 
 _KEY = """"row" || ':' || col"""
@@ -13,45 +13,46 @@ _KEY = """"row" || ':' || col"""
 
 @query("reservoir_sample", f"""
 SELECT "year", "row", col, {rq('NDVI')} AS NDVI FROM (SELECT *, row_number() OVER (PARTITION BY "year" ORDER BY md5((42 + "year") || ':' || {_KEY})) AS rn FROM composite)
-WHERE rn <= 500""", needs=("composite",))
+WHERE rn <= {cfg.SAMPLES_PER_YEAR}""", needs=("composite",))
 def reservoir_sample(spark, d):
-    return rounded(sa.sample_pixels(composite_table(spark, d).select("year", "row", "col", "NDVI"), 500), "NDVI")
+    return rounded(sa.sample_pixels(composite_table(spark, d).select("year", "row", "col", "NDVI")), "NDVI")
 
 
-_L98 = """, l AS (SELECT * FROM labelled WHERE "year" = 1998)"""
+_BY = '"year", class'
+_N = cfg.SAMPLES_PER_CLASS
 
 
-def _l98(spark, d):
-    return labelled(spark, d).where("year = 1998").select("row", "col", "NDVI", "NDBI", "NDWI", "class")
+def _labels(spark, d):
+    return labelled(spark, d).select("year", "row", "col", "NDVI", "NDBI", "NDWI", "class")
 
 
-@query("stratified_sample", _L98 + f"""SELECT "row", col, class FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('42:' || {_KEY})) AS rn FROM l) WHERE rn <= 50""", needs=("labelled",))
+@query("stratified_sample", f"""SELECT "year", "row", col, class FROM (SELECT *, row_number() OVER (PARTITION BY {_BY} ORDER BY md5('42:' || {_KEY})) AS rn FROM labelled) WHERE rn <= {_N}""", needs=("labelled",))
 def stratified_sample(spark, d):
-    return sa.stratified_sample(_l98(spark, d), 50).select("row", "col", "class")
+    return sa.stratified_sample(_labels(spark, d), by=["year"]).select("year", "row", "col", "class")
 
 
-_GROUND = """, l AS (SELECT c."row", c.col, c.NDVI, c.NDBI, c.NDWI, (g.v % 4)::INT AS class FROM composite c JOIN grid g ON c."row" = g."row" AND c.col = g.col
-   WHERE c."year" = 1998 AND NDVI IS NOT NULL AND NDBI IS NOT NULL AND NDWI IS NOT NULL),
- cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('42:' || "row" || ':' || col)) AS rn FROM l WHERE class = 0) WHERE rn <= 200),
- water AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('42:sort:' || "row" || ':' || col)) AS r2 FROM cand WHERE NDWI > 0) WHERE r2 <= 100),
- others AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('42:' || "row" || ':' || col)) AS rn FROM l WHERE class IN (1, 2, 3)) WHERE rn <= 100)"""
+_GROUND = f""", l AS (SELECT c."year", c."row", c.col, c.NDVI, c.NDBI, c.NDWI, (g.v % 4)::INT AS class FROM composite c JOIN grid g ON c."row" = g."row" AND c.col = g.col
+   WHERE NDVI IS NOT NULL AND NDBI IS NOT NULL AND NDWI IS NOT NULL),
+ cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_BY} ORDER BY md5('42:' || "row" || ':' || col)) AS rn FROM l WHERE class = 0) WHERE rn <= {cfg.WATER_OVERSAMPLE}),
+ water AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "year" ORDER BY md5('42:sort:' || "row" || ':' || col)) AS r2 FROM cand WHERE NDWI > 0) WHERE r2 <= {_N}),
+ others AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_BY} ORDER BY md5('42:' || "row" || ':' || col)) AS rn FROM l WHERE class IN (1, 2, 3)) WHERE rn <= {_N})"""
 
 
 def _ground(spark, d):
     """Composite with independent labels, so water labels can be wrong."""
     lab = grid(spark, d).select("row", "col", (F.col("v") % 4).cast("int").alias("class"))
-    return composite(spark, d).where("year = 1998").select("row", "col", *cfg.INDICES).join(lab, ["row", "col"])
+    return composite(spark, d).select("year", "row", "col", *cfg.INDICES).join(lab, ["row", "col"])
 
 
-@query("cleaned_water_sample", _GROUND + """SELECT "row", col, class FROM water UNION ALL SELECT "row", col, class FROM others""", needs=("composite", "grid"))
+@query("cleaned_water_sample", _GROUND + """SELECT "year", "row", col, class FROM water UNION ALL SELECT "year", "row", col, class FROM others""", needs=("composite", "grid"))
 def cleaned_water_sample(spark, d):
-    return sa.cleaned_sample(_ground(spark, d), 100, 200)[0].select("row", "col", "class")
+    return sa.cleaned_sample(_ground(spark, d), by=["year"])[0].select("year", "row", "col", "class")
 
 
-@query("cleaning_stats", _GROUND + f"""SELECT count(*) AS water_candidates, CAST(count_if(NDWI > 0) AS BIGINT) AS water_passed_ndwi_filter,
- CAST(least(count_if(NDWI > 0), 100) AS BIGINT) AS water_final_used, {rq('100.0::DOUBLE * (1.0 - count_if(NDWI > 0) / count(*)::DOUBLE)')} AS water_removed_pct, 0.0::DOUBLE AS ndwi_threshold FROM cand""", needs=("composite", "grid"))
+@query("cleaning_stats", _GROUND + f"""SELECT "year", count(*) AS water_candidates, CAST(count_if(NDWI > 0) AS BIGINT) AS water_passed_ndwi_filter,
+ CAST(least(count_if(NDWI > 0), {_N}) AS BIGINT) AS water_final_used, {rq('100.0::DOUBLE * (1.0 - count_if(NDWI > 0) / count(*)::DOUBLE)')} AS water_removed_pct, 0.0::DOUBLE AS ndwi_threshold FROM cand GROUP BY 1""", needs=("composite", "grid"))
 def cleaning_stats(spark, d):
-    return rounded(sa.cleaned_sample(_ground(spark, d), 100, 200)[1], "water_removed_pct")
+    return rounded(sa.cleaned_sample(_ground(spark, d), by=["year"])[1], "water_removed_pct")
 
 
 @query("region_sample", f"""SELECT "row", col, v FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || {_KEY})) AS rn FROM grid
@@ -64,23 +65,23 @@ def region_sample(spark, d):
 _U = f"""('0x' || substr(md5('42:' || {_KEY}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"""
 
 
-@query("train_test_split", _L98 + f"""SELECT ({_U} < 0.7) AS is_train, class, count(*) AS n FROM l GROUP BY 1, 2""", needs=("labelled",))
+@query("train_test_split", f"""SELECT "year", ({_U} < 0.7) AS is_train, class, count(*) AS n FROM labelled GROUP BY 1, 2, 3""", needs=("labelled",))
 def train_test_split(spark, d):
-    train, test = sa.train_test_split(_l98(spark, d))
+    train, test = sa.train_test_split(_labels(spark, d))
     both = train.withColumn("is_train", F.lit(True)).unionByName(test.withColumn("is_train", F.lit(False)))
-    return both.groupBy("is_train", "class").agg(F.count(F.lit(1)).alias("n"))
+    return both.groupBy("year", "is_train", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("exact_split", _L98 + f"""SELECT "row", col, class, rn <= round_even(0.7 * n, 0) AS is_train FROM (
- SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('42:' || {_KEY})) AS rn, count(*) OVER (PARTITION BY class) AS n FROM l)""", needs=("labelled",))
+@query("exact_split", f"""SELECT "year", "row", col, class, rn <= round_even(0.7::DOUBLE * n, 0) AS is_train FROM (
+ SELECT *, row_number() OVER (PARTITION BY {_BY} ORDER BY md5('42:' || {_KEY})) AS rn, count(*) OVER (PARTITION BY {_BY}) AS n FROM labelled)""", needs=("labelled",))
 def exact_split(spark, d):
-    return sa.exact_split(_l98(spark, d)).select("row", "col", "class", "is_train")
+    return sa.exact_split(_labels(spark, d), by=["year"]).select("year", "row", "col", "class", "is_train")
 
 
-@query("qc_points", _L98 + f"""SELECT "row", col, class FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('7:' || {_KEY})) AS rn FROM
- (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('42:' || {_KEY})) AS r1 FROM l) WHERE r1 <= 50) WHERE rn <= 20""", needs=("labelled",))
+@query("qc_points", f"""SELECT "year", "row", col, class FROM (SELECT *, row_number() OVER (PARTITION BY {_BY} ORDER BY md5('7:' || {_KEY})) AS rn FROM
+ (SELECT *, row_number() OVER (PARTITION BY {_BY} ORDER BY md5('42:' || {_KEY})) AS r1 FROM labelled) WHERE r1 <= {_N}) WHERE rn <= 20""", needs=("labelled",))
 def qc_points(spark, d):
-    return sa.qc_points(sa.stratified_sample(_l98(spark, d), 50), 20, seed=7).select("row", "col", "class")
+    return sa.qc_points(sa.stratified_sample(_labels(spark, d), by=["year"]), 20, seed=7, by=["year"]).select("year", "row", "col", "class")
 
 
 _PLACED = """, pp AS (SELECT *, CAST(floor((y - 1200000.0::DOUBLE) / -10.0::DOUBLE) AS INT) AS "row", CAST(floor((x - 600000.0::DOUBLE) / 10.0::DOUBLE) AS INT) AS col FROM points)"""
@@ -110,12 +111,12 @@ def point_chips(spark, d):
     return pt.chips(grid(spark, d), placed).groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sum_v"))
 
 
-@query("union_years", """SELECT "year", count(*) AS n, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM composite WHERE "year" IN (1997, 1999) GROUP BY 1""", needs=("composite",))
+@query("union_years", """SELECT "year", count(*) AS n, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM composite GROUP BY 1""", needs=("composite",))
 def union_years(spark, d):
     from rasterloom.operators.features import combine_years
 
     c = composite(spark, d)
-    both = combine_years({y: c.where(F.col("year") == y) for y in (1999, 1997)})
+    both = combine_years({y: c.where(F.col("year") == y) for y in YEARS})
     return both.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum("n_obs").alias("n_obs"))
 
 

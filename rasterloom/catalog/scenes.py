@@ -41,12 +41,12 @@ def composite_median(spark, d):
 @query("calendar_composite", f"""
 SELECT CAST(year(ts) AS INT) AS "year", "row", col, {rq('median(B11) / 10000.0::DOUBLE')} AS B11,
        {rq('median(B8) / 10000.0::DOUBLE')} AS B8, count(*) AS n_obs
-FROM obs WHERE scene_id IN (SELECT scene_id FROM scenes WHERE cloud_pct < 10) AND year(ts) IN (1997, 1998)
+FROM obs WHERE scene_id IN (SELECT scene_id FROM scenes WHERE cloud_pct < 10) AND year(ts) BETWEEN 1996 AND 2001
 GROUP BY 1, 2, 3""", needs=("obs", "scenes"))
 def calendar_composite(spark, d):
     """The older draft: calendar years, strict cloud limit, no pixel mask."""
     chosen = sc.select_observations(
-        obs(spark, d), scenes(spark, d), [1997, 1998], max_cloud=10, window=sc.calendar_year)
+        obs(spark, d), scenes(spark, d), YEARS, max_cloud=10, window=sc.calendar_year)
     return rounded(sc.median_composite(chosen, bands=["B11", "B8"]), "B11", "B8")
 
 
@@ -265,10 +265,10 @@ def raster_metadata(spark, d):
         CASE WHEN "year" > 1999 THEN 10.0::DOUBLE ELSE 20.0::DOUBLE END AS res FROM (SELECT DISTINCT "year" FROM picked)),
  f AS (SELECT * FROM m ORDER BY "year" LIMIT 1)
 SELECT CAST("year" AS INT) AS "year", issue FROM (
- SELECT m."year", format('Band count mismatch: {} has {} bands, {} has {} bands.', f."year", f.band_count, m."year", m.band_count) AS issue
+ SELECT m."year", format('bands: {} instead of {}', m.band_count, f.band_count) AS issue
    FROM m, f WHERE m.band_count <> f.band_count
- UNION ALL SELECT m."year", format('CRS mismatch: {} is {}, {} is {}.', f."year", f.crs, m."year", m.crs) FROM m, f WHERE m.crs <> f.crs
- UNION ALL SELECT m."year", format('Resolution mismatch: {} is {:.2f}m, {} is {:.2f}m.', f."year", f.res, m."year", m.res) FROM m, f
+ UNION ALL SELECT m."year", format('crs: {} instead of {}', m.crs, f.crs) FROM m, f WHERE m.crs <> f.crs
+ UNION ALL SELECT m."year", format('cell size: {:.2f} instead of {:.2f}', m.res, f.res) FROM m, f
    WHERE abs(m.res - f.res) > 0.00000001 + 0.001 * f.res)""", needs=("picked",))
 def year_consistency(spark, d):
     years = sc.select_scenes(scenes(spark, d), YEARS).select("year").distinct()

@@ -170,11 +170,11 @@ def feature_table(spark, d):
 @query("readiness", """
 , c AS (SELECT count(*) AS n FROM pixels), f AS (SELECT count(NDVI) AS k FROM composite)
 SELECT * FROM (
-  SELECT 1 AS item, 'Dataset loaded successfully' AS "check", n > 0 AS ok FROM c
-  UNION ALL SELECT 2, 'Required bands available', n > 0 FROM c UNION ALL SELECT 3, 'Invalid values handled', n > 0 FROM c
-  UNION ALL SELECT 4, 'Missing data assessed', n > 0 FROM c UNION ALL SELECT 5, 'Spectral indices generated', n > 0 AND k > 0 FROM c, f
-  UNION ALL SELECT 6, 'Features statistically explored', n > 0 AND k > 0 FROM c, f UNION ALL SELECT 7, 'AOI-clipped to study area', n > 0 FROM c
-  UNION ALL SELECT 8, 'Training samples available for supervised training', false UNION ALL SELECT 9, 'Dataset ready for classification', false)""",
+  SELECT 1 AS item, 'rows_present' AS "check", n > 0 AS ok FROM c
+  UNION ALL SELECT 2, 'bands_present', n > 0 FROM c UNION ALL SELECT 3, 'invalid_masked', n > 0 FROM c
+  UNION ALL SELECT 4, 'gaps_counted', n > 0 FROM c UNION ALL SELECT 5, 'indices_present', n > 0 AND k > 0 FROM c, f
+  UNION ALL SELECT 6, 'features_described', n > 0 AND k > 0 FROM c, f UNION ALL SELECT 7, 'area_given', n > 0 FROM c
+  UNION ALL SELECT 8, 'labels_given', false UNION ALL SELECT 9, 'can_classify', false)""",
        needs=("pixels", "composite"))
 def readiness(spark, d):
     return st.readiness(pixels(spark, d), composite(spark, d), aoi_exists=True, training_exists=False)

@@ -53,7 +53,9 @@ def overall_accuracy(cm: DataFrame, by=()) -> DataFrame:
 
 def _weighted_rows(cm: DataFrame, weights: DataFrame) -> DataFrame:
     """(ref, pred, n, n_i, w, cond, p): rows are reference classes, weights
-    are normalised to 1, classes without samples contribute 0."""
+    are normalised to 1. Every class of either side or of the weights is
+    there; one without samples has a single row without a prediction, one
+    without a weight has weight 0."""
     totals = cm.groupBy("ref").agg(F.sum("n").alias("n_i"))
     norm = weights.agg(F.sum("w").alias("w_sum")).withColumn("_k", F.lit(1))
     w = (
@@ -61,7 +63,11 @@ def _weighted_rows(cm: DataFrame, weights: DataFrame) -> DataFrame:
         .select(F.col("class").alias("ref"), F.coalesce(F.col("w") / F.nullif(F.col("w_sum"), F.lit(0.0)), F.col("w")).alias("w"))
     )
     cond = _ratio(F.col("n").cast("double"), F.col("n_i"))
-    return cm.join(totals, "ref").join(w, "ref").withColumns({"cond": cond, "p": cond * F.col("w")})
+    sides = cm.select(F.explode(F.array("ref", "pred")).alias("ref")).unionByName(weights.select(F.col("class").alias("ref")))
+    frame = sides.where("ref IS NOT NULL").distinct()
+    rows = frame.join(w, "ref", "left").join(totals, "ref", "left").join(cm, "ref", "left")
+    rows = rows.na.fill({"w": 0.0}).withColumns({"n": F.coalesce("n", F.lit(0)), "n_i": F.coalesce("n_i", F.lit(0))})
+    return rows.withColumns({"cond": cond, "p": cond * F.col("w")})
 
 
 def area_weighted_accuracy(cm: DataFrame, weights: DataFrame) -> DataFrame:
@@ -91,7 +97,7 @@ def area_weighted_classes(cm: DataFrame, weights: DataFrame) -> DataFrame:
     by_ref = r.groupBy(F.col("ref").alias("class")).agg(
         F.sum(diag).alias("hit"), F.first("w").alias("weight"), F.first("n_i").alias("n_ref")
     )
-    by_pred = r.groupBy(F.col("pred").alias("class")).agg(F.sum("p").alias("estimated_proportion"))
+    by_pred = r.where("pred IS NOT NULL").groupBy(F.col("pred").alias("class")).agg(F.sum("p").alias("estimated_proportion"))
     both = by_ref.join(by_pred, "class", "left")
     est = F.coalesce("estimated_proportion", F.lit(0.0))
     return both.select(

@@ -35,14 +35,13 @@ def class_histogram(df: DataFrame, label: str = "class", by: Sequence[str] = ())
 
 def class_area_table(classified: DataFrame, pixel_ha: float = cfg.PIXEL_AREA_HA, classes=CLASSES) -> DataFrame:
     """Pixels, hectares and percent for every (year, class), zeros included.
-    The pixel table is reduced to one row per year before the class frame is
+    Percentages refer to all coded pixels, those of other codes too. The pixel table is reduced to one row per year before the class frame is
     added."""
     counted = classified.groupBy("year").agg(*[
         F.count_if(F.col("class") == c).alias(f"_{c}") for c in classes
-    ])
+    ], F.count("class").alias("total_pixels"))
     cells = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"_{c}").alias("n")) for c in classes])
-    total = sum((F.col(f"_{c}") for c in classes[1:]), F.col(f"_{classes[0]}"))
-    long = counted.select("year", total.alias("total_pixels"), F.explode(cells).alias("c"))
+    long = counted.select("year", "total_pixels", F.explode(cells).alias("c"))
     return long.select(
         "year", F.col("c.class").alias("class"), F.col("c.n").alias("n"), "total_pixels",
         (F.col("c.n") * F.lit(pixel_ha)).alias("area_ha"),

@@ -15,7 +15,7 @@ from rasterloom.operators import accuracy as ac
 from rasterloom.operators import sampling as sa
 from rasterloom.session import checkpoint
 
-MAX_DEPTH = 12
+MAX_DEPTH = 30
 FIT_PARTITIONS = 8
 
 

@@ -241,11 +241,13 @@ def majority(
     tile: int = TILE, dense: bool = False,
 ) -> DataFrame:
     """Most frequent class of the 3 x 3 square; ties go to the smallest
-    class; masked cells do not vote and stay masked. Class counts are packed
+    class; masked cells and cells with a code outside 0..n_classes-1 do not
+    vote and have no result. Class counts are packed
     four bits each into one long, so two sliding sums count all classes."""
     if n_classes > 15:
         raise ValueError("at most 15 classes fit the packed counters")
-    t = halo_tiles(df, [label], extent, 1, "constant", keys, tile, dense)
+    known = F.when(F.col(label).between(0, n_classes - 1), F.col(label))
+    t = halo_tiles(df.withColumn(label, known), [label], extent, 1, "constant", keys, tile, dense)
     votes = F.lit(0).cast("bigint")
     for c in range(n_classes):
         votes = F.when(F.col(label) == c, F.lit(1 << (4 * c)).cast("bigint")).otherwise(votes)

@@ -12,7 +12,7 @@ from rasterloom import config as cfg
 from rasterloom.functions.columns import is_close
 from rasterloom.functions.geo import polygon_edges
 from rasterloom.functions.spectral import add_indices, reflectance, scl_clear
-from rasterloom.session import broadcast_if_small, checkpoint
+
 
 
 def dry_season(year: int) -> tuple[str, str]:
@@ -86,69 +86,29 @@ def mask_clouds(obs: DataFrame, scl: str = "scl") -> DataFrame:
     return obs.where(scl_clear(F.col(scl)))
 
 
-# A pixel with about this many observations is handled by counters.
-HOT_ROWS = 500_000
-
-
-def hot_pixels(obs: DataFrame, keys: Sequence[str] = ("row", "col"), hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Pixels that may hold very many observations, from a thin probe of the
-    key columns. The probe only chooses the method; both methods are exact.
-    It is materialised, so both branches see the same list."""
-    share = min(1.0, 1000 / hot_rows)
-    probe = obs.select(*keys).sample(fraction=share, seed=cfg.SEED) if share < 1 else obs.select(*keys)
-    counts = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = checkpoint(counts.where(F.col("_n") >= hot_rows * share / 2).select(*keys))
-    return None if hot.isEmpty() else hot
-
-
 def median_composite(
     obs: DataFrame,
     keys: Sequence[str] = ("year", "row", "col"),
     bands: Sequence[str] = tuple(cfg.BANDS),
     scale: bool = True,
-    hot: DataFrame | None | str = "probe",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per-pixel median over the masked observations, with the number of
-    observations next to it.
-
-    Raw rows are shuffled once by pixel and each pixel's few dozen values are
-    sorted; partial buffers would only make the shuffle larger, as one task
-    rarely sees a pixel twice. A pixel holding a large share of all rows goes
-    another way: exact medians from counters per distinct digital number (at
-    most 10 001), combined before the shuffle. `hot` lists such pixels; by
-    default the observations are probed for them."""
-    keys = list(keys)
+    observations next to it. Exact, one shuffle, one method for all pixels.
 
+    The state of a pixel is a counter for each distinct digital number (at
+    most 10 001 a band, whatever the number of observations), and counters
+    are combined before the shuffle: a pixel with a third of all rows sends
+    one counter from each task."""
     def finish(c):
         return reflectance(c) if scale else c
 
-    def middle(b):
-        a, n = F.col(b), F.size(b)
-        low, high = F.get(a, F.floor((n - 1) / 2).cast("int")), F.get(a, F.floor(n / 2).cast("int"))
-        return finish((low + high) / 2).alias(b)
-
-    def usual(df):
-        sorted_values = df.repartition(*keys).groupBy(*keys).agg(
-            *[F.sort_array(F.collect_list(b)).alias(b) for b in bands], F.count(F.lit(1)).alias("n_obs"))
-        return sorted_values.select(*keys, *[middle(b) for b in bands], "n_obs")
-
-    if isinstance(hot, str):
-        hot = hot_pixels(obs, [k for k in keys if k in ("row", "col")], hot_rows)
-    if hot is None:
-        return usual(obs)
-    place, few = hot.columns, broadcast_if_small(hot)
-    counted = obs.join(few, place, "left_semi").groupBy(*keys).agg(
-        *[finish(F.median(b)).alias(b) for b in bands], F.count(F.lit(1)).alias("n_obs"))
-    return usual(obs.join(few, place, "left_anti")).unionByName(counted)
+    return obs.groupBy(*keys).agg(*[finish(F.median(b)).alias(b) for b in bands], F.count(F.lit(1)).alias("n_obs"))
 
 
 def build_composite(obs, scenes, years, **options) -> DataFrame:
-    """Scene selection, cloud mask, median, reflectance and indices. The
-    probe for crowded pixels reads two columns of the raw table."""
-    hot = hot_pixels(obs)
-    chosen = mask_clouds(select_observations(obs, scenes, years, **options))
-    return add_indices(median_composite(chosen, hot=hot))
+    """Scene selection, cloud mask, median, reflectance and indices. No job
+    runs before the result is asked for."""
+    return add_indices(median_composite(mask_clouds(select_observations(obs, scenes, years, **options))))
 
 
 def sensor_ndbi(obs: DataFrame, swir: str, nir: str, keys=("year", "row", "col")) -> DataFrame:
@@ -238,15 +198,12 @@ def consistency_issues(metadata: DataFrame) -> DataFrame:
         *cols, *[F.first(c).over(first).alias(f"ref_{c}") for c in cols]
     ).where(F.col("year") > F.col("ref_year"))
     c = F.col
+    def differs(kind: str, form: str, name: str) -> Column:
+        return F.format_string(f"{kind} {form} instead of {form}", c(name), c(f"ref_{name}"))
+
     text = {
-        "band_count": F.format_string(
-            "Band count mismatch: %d has %d bands, %d has %d bands.",
-            c("ref_year"), c("ref_band_count"), c("year"), c("band_count")),
-        "crs": F.format_string(
-            "CRS mismatch: %d is %s, %d is %s.", c("ref_year"), c("ref_crs"), c("year"), c("crs")),
-        "resolution": F.format_string(
-            "Resolution mismatch: %d is %.2fm, %d is %.2fm.",
-            c("ref_year"), c("ref_resolution_x"), c("year"), c("resolution_x")),
+        "band_count": differs("bands:", "%d", "band_count"), "crs": differs("crs:", "%s", "crs"),
+        "resolution": differs("cell size:", "%.2f", "resolution_x"),
     }
     checks = F.array(
         F.when(c("band_count") != c("ref_band_count"), text["band_count"]),

@@ -172,27 +172,28 @@ def rasterize_lines(segs: DataFrame, affine, ids: Sequence[str] = (), step: floa
 
 def nearest_distance(
     grid: DataFrame, sources: DataFrame, extent: Extent, spacing: tuple[float, float] = (10.0, 10.0),
-    pad: int = 0, strip: int = 32,
+    strip: int = 32,
 ) -> DataFrame:
     """Exact distance from every pixel centre to the nearest source pixel.
 
-    Two separable passes over the raster extended by `pad` cells. Pass one
-    finds the nearest source row of every column with running windows, one
-    window per column. Pass two takes, along each row, the minimum of
+    Two separable passes. Pass one finds, in every column that has sources
+    (inside the raster or out), the source row nearest to each raster row with
+    running windows, one window per column. Pass two takes, along each row, the minimum of
     (dx^2 + g^2) over columns; rows are independent, so strips of rows are
     worked on in parallel. Very wide rasters use strip=1; one row always
     fits a task. Without any source the distance is NULL."""
     sy, sx = spacing
-    spark = grid.sparkSession
-    lines = spark.range(-pad, extent.rows + pad).select(F.col("id").cast("int").alias("row"))
-    cells = lines.withColumn("col", F.explode(F.sequence(F.lit(-pad), F.lit(extent.cols + pad - 1))))
-    marked = cells.join(sources.select("row", "col", F.col("row").alias("_src")).distinct(), ["row", "col"], "left")
-    down = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy("col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
+    places = sources.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
+    cells = places.select("col").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(extent.rows - 1))).alias("row"), "col")
+    marked = cells.withColumn("_src", F.lit(None).cast("int")).unionByName(places.withColumn("_src", F.col("row")))
+    # a cell and a source of the same row are peers and see each other
+    down = Window.partitionBy("col").orderBy("row").rangeBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("col").orderBy(F.desc("row")).rangeBetween(Window.unboundedPreceding, 0)
     above = F.last("_src", ignorenulls=True).over(down)
     below = F.last("_src", ignorenulls=True).over(up)
     gap = F.least(F.col("row") - above, below - F.col("row")) * F.lit(float(sy))
-    g = marked.select("row", "col", gap.alias("g")).where(F.col("row").between(0, extent.rows - 1))
+    g = marked.select("row", "col", "_src", gap.alias("g"))
+    g = g.where(F.col("_src").isNull())
     strips = g.groupBy(F.floor(F.col("row") / strip).alias("_strip"))
     xs = np.arange(extent.cols) * float(sx)
 

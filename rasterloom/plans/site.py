@@ -66,8 +66,7 @@ def zone_tables(classified: DataFrame, years: Sequence[int], affine, center, roa
         return rings, None
     cells = ve.rasterize_lines(roads, affine)
     grid = common.select("row", "col")
-    pad = int(1500 / min(abs(affine[0]), abs(affine[4]))) + 1
-    d = ve.nearest_distance(grid, cells, extent, (abs(affine[4]), abs(affine[0])), pad)
+    d = ve.nearest_distance(grid, cells, extent, (abs(affine[4]), abs(affine[0])))
     return rings, zo.distance_band_table(both.join(d, ["row", "col"]), "distance", ha)
 
 

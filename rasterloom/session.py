@@ -14,17 +14,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def build_session(app: str = "rasterloom", cores: str = "*", **conf) -> SparkSession:
+def build_session(app: str = "rasterloom", **conf) -> SparkSession:
+    """A session with the settings the library relies on. Master, memory and
+    the number of partitions are the cluster's business; pass them as
+    keywords with two underscores for a dot."""
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
-        .config("spark.driver.host", "localhost")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():
@@ -32,15 +29,28 @@ def build_session(app: str = "rasterloom", cores: str = "*", **conf) -> SparkSes
     return builder.getOrCreate()
 
 
+def local_session(app: str, cores: int | str = "*", **conf) -> SparkSession:
+    """A session on this machine, for benches, tools and tests."""
+    single = {
+        "spark__master": f"local[{cores}]", "spark__sql__shuffle__partitions": "8", "spark__ui__enabled": "false",
+        "spark__ui__showConsoleProgress": "false", "spark__driver__memory": "16g", "spark__driver__host": "localhost",
+    }
+    return build_session(app, **{**single, **conf})
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; make a local one only if
-    the session names none (tests, single machine)."""
+    """The cluster's shared checkpoint folder. Only where all executors are
+    this one process may it be missing; a local folder is made then."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = sc.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 

@@ -94,20 +94,13 @@ def qc_report(metadata: DataFrame, stats: DataFrame, indices: Sequence[str] = tu
     m = metadata.join(per_year, "year").withColumn("total", F.col("width").cast("bigint") * F.col("height"))
     missing = F.col("total") - F.col("valid")
     pct = F.coalesce(100.0 * missing / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0))
-    def whole(label, c):
-        return F.concat(F.lit(f"{label}: "), F.format_number(c, 0))
-    bands = [
-        F.concat(F.lit(b), F.when(F.array_contains("present", b), " ✓").otherwise(" ✗ (missing)")) for b in cfg.BANDS
-    ]
-    marks = [F.lit(f"{i} ✓" if i in indices else f"{i} ✗ (not computed)") for i in cfg.INDICES]
+    def listed(names, has):
+        return F.concat_ws(" ", *[F.when(has(x), F.lit(x)).otherwise(F.lit(f"no-{x}")) for x in names])
     lines = [
-        F.lit("========== DATA QUALITY REPORT =========="), F.lit(""),
-        F.concat(F.lit("Year: "), F.col("year").cast("string")), F.lit(""),
-        whole("Total pixels", F.col("total")), whole("Valid pixels", F.col("valid")), whole("Missing pixels", missing),
-        F.format_string("Missing percentage: %.3f%%", pct), F.lit(""), F.lit("Bands:"), *bands, F.lit(""),
-        F.lit("Indices:"), *marks, F.lit(""), F.concat(F.lit("CRS: "), F.col("crs")),
-        F.format_string("Resolution: %.2f x %.2f m", F.col("resolution_x"), F.col("resolution_y")), F.lit(""),
-        F.lit("=========================================="),
+        F.format_string("year %d, grid %d x %d", F.col("year"), F.col("width"), F.col("height")),
+        F.format_string("pixels %d = %d with data + %d without (%.3f %%)", F.col("total"), F.col("valid"), missing, pct),
+        F.concat(F.lit("layers "), listed(cfg.BANDS, lambda b: F.array_contains("present", b)), F.lit(" "), listed(cfg.INDICES, lambda i: F.lit(i in indices))),
+        F.format_string("%s, cells of %.2f by %.2f", F.col("crs"), F.col("resolution_x"), F.col("resolution_y")),
     ]
     return m.select("year", F.concat_ws("\n", *lines).alias("report"))
 

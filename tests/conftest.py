@@ -7,12 +7,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from rasterloom.session import build_session  # noqa: E402
+from rasterloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "4", spark__sql__shuffle__partitions="4", spark__driver__memory="6g")
+    s = local_session("tests", "4", spark__sql__shuffle__partitions="4", spark__driver__memory="6g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
