@@ -15,8 +15,9 @@ row, so a lost or repeated task leaves at most files that no manifest names.
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, checkpoint, documents, id_out, memo
+from .common import checkpoint, documents, id_out, memo
 
 MANIFEST = "path string, first_id long, last_id long, n_docs long, n_tokens long, n_sequences long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -43,11 +44,14 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
 
 class LibraryEncoder:
     """Ids by the tokenizers library, which is asked once for every distinct
-    chunk between spaces and line feeds. For files whose rules never look
-    across white space (the word-end kind) the result is the same as encoding
-    the whole text."""
+    word. Texts are taken chunk by chunk between spaces and line feeds, and a
+    chunk of letters with a comma or full stop as the word and the sign: the
+    word-end files split there in any case, so the ids are those of the whole
+    text. Every other chunk goes to the library as it is."""
 
-    def __init__(self, path: str, size: int = 250_000):
+    LONG = 64  # longer chunks are not kept
+
+    def __init__(self, path: str, size: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,24 +59,56 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.chunks = Memo(self._one, size)
-
-    def _one(self, chunk: str) -> bytes:
-        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.size = size
+
+    def _ask(self, words: list[str], whole: list[str]) -> None:
+        """Learn words, each of which the file takes as one, and other pieces.
+        Words go many to a text, and are told apart by their last tokens."""
+        width, known, step = np.dtype(self.kind).itemsize, self.known, 512
+        for at in range(0, len(words), step * 64):
+            texts = [" ".join(words[i : i + step]) for i in range(at, min(at + step * 64, len(words)), step)]
+            flat = np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)), self.kind)
+            ends = ((np.flatnonzero(self.last[flat]) + 1) * width).tolist()
+            raw = flat.tobytes()
+            known.update(zip(words[at : at + step * 64], [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+        for at in range(0, len(whole), 20_000):
+            part = whole[at : at + 20_000]
+            known.update(zip(part, [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        known = self.known
+        if len(known) > self.size:
+            known.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.chunks
-        new = [c for c in set(chain.from_iterable(split)) if c not in known and c not in known.old and len(c) <= known.LONG]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
-            width, place = np.dtype(self.kind).itemsize, 0
-            for c, i in zip(part, ids, strict=True):
-                known.put(c, flat[place : (place := place + width * len(i))])
-        look = known.__getitem__
-        return [np.frombuffer(b"".join(map(look, chunks)), self.kind) for chunks in split]
+        whole, words, signed, cased = [], set(), [], []
+        for c in set(chain.from_iterable(split)).difference(known):
+            body, sign = (c[:-1], c[-1]) if c[-1:] in (",", ".") else (c, "")
+            if body.isascii() and body.isalpha():
+                word = body.lower()
+            elif unicodedata.normalize("NFC", body).lower().isalpha():
+                word = body
+            else:
+                whole.append(c)
+                continue
+            words.add(word)
+            if sign:
+                signed.append((c, word, sign))
+            elif word != c:
+                cased.append((c, word))
+        self._ask([*words.difference(known)], [*whole, *(x for x in (",", ".") if x not in known)])
+        for c, word in cased:
+            known[c] = known[word]
+        for c, word, sign in signed:
+            known[c] = known[word] + known[sign]
+        out = [np.frombuffer(b"".join([known[c] for c in x]), self.kind) for x in split]
+        for c in whole:
+            if len(c) > self.LONG:
+                known.pop(c, None)
+        return out
 
 
 class ShardWriter:
@@ -189,11 +225,10 @@ def write_tokens(df: DataFrame, folder: str, path: str, end_id: int | None = 1,
             enc = memo(("library", path), lambda: LibraryEncoder(path))
             if b.num_rows and writer is None:
                 writer = ShardWriter(folder, enc.kind, length, rows, end_id or 0)
-            texts = b.column(1).cast(pa.string()).to_pylist()
-            ids = b.column(0).to_pylist()
             end = np.array([] if end_id is None else [end_id], enc.kind)
-            for at in range(0, len(ids), 512):
-                for i, x in zip(ids[at : at + 512], enc.encode(texts[at : at + 512]), strict=True):
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                for i, x in zip(part.column(0).to_pylist(), enc.encode(part.column(1).cast(pa.string()).to_pylist()), strict=True):
                     writer.add(i, np.concatenate([x, end]))
         if writer:
             writer.close()
