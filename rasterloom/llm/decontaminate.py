@@ -108,7 +108,7 @@ def _summed(df: DataFrame, width: int) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     half = max(1, math.isqrt(partitions(df.sparkSession)))
-    rows = df.mapInArrow(add, "part binary").repartition(half).mapInArrow(add, "part binary").coalesce(1).mapInArrow(add, "part binary").collect()
+    rows = df.mapInArrow(add, "part binary").repartition(half).mapInArrow(add, "part binary").repartition(1).mapInArrow(add, "part binary").collect()
     return np.frombuffer(rows[0][0], np.float64) if rows else None
 
 

@@ -97,8 +97,11 @@ def test_near_duplicates_equal_brute_force(spark, sample, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_near_duplicates_in_long_lists(spark, rng):
+@pytest.mark.parametrize("block", [200_000, 2_000])
+def test_near_duplicates_in_long_lists(spark, rng, block, monkeypatch):
     """A large group of different near copies, and unrelated texts with one common passage."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "CELLS", block)
     base = [f"w{i}" for i in rng.integers(0, 10**6, 90)]
     rows = []
     for i in range(150):
