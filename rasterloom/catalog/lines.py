@@ -93,6 +93,25 @@ def line_segments(spark, d):
     return rounded(_segments(spark, d), "length_m", "bearing_deg", digits=4)
 
 
+_ALL = """, cand AS (SELECT t, rho FROM acc WHERE n >= 2.5),
+ px AS (SELECT e."row", e.col, q.t, radians(q.t - 90.0::DOUBLE) AS th FROM (SELECT * FROM classes1 WHERE class = 3) e CROSS JOIN (SELECT CAST(unnest(range(180)) AS INT) AS t) q),
+ pr AS (SELECT "row", col, t, round("row" * cos(th) - col * sin(th), 6) AS pos, CAST(unnest(range(CAST(ceil(round(col * cos(th) + "row" * sin(th) - 1, 9)) AS INT), CAST(floor(round(col * cos(th) + "row" * sin(th) + 1, 9)) AS INT) + 1)) AS INT) AS rho FROM px),
+ onl AS (SELECT pr.* FROM pr JOIN cand ON pr.t = cand.t AND pr.rho = cand.rho),
+ st AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY t, rho ORDER BY pos, "row", col) > 3 THEN 1 ELSE 0 END AS nw FROM onl),
+ rn AS (SELECT *, sum(nw) OVER (PARTITION BY t, rho ORDER BY pos, "row", col ROWS UNBOUNDED PRECEDING) AS run FROM st),
+ sg AS (SELECT t, rho, run, count(*) AS n_px, min({'p': pos, 'r': "row", 'c': col}) AS a, max({'p': pos, 'r': "row", 'c': col}) AS b FROM rn GROUP BY 1, 2, 3),
+ lg AS (SELECT *, round(b.p - a.p, 6) AS len FROM sg WHERE round(b.p - a.p, 6) >= 10),
+ ow AS (SELECT rn."row", rn.col, lg.t, lg.rho, lg.run, row_number() OVER (PARTITION BY rn."row", rn.col ORDER BY len DESC, n_px DESC, lg.t, lg.rho, lg.run) AS k FROM rn JOIN lg ON rn.t = lg.t AND rn.rho = lg.rho AND rn.run = lg.run),
+ ct AS (SELECT t, rho, run, count(*) AS own FROM ow WHERE k = 1 GROUP BY 1, 2, 3)
+SELECT lg.t, lg.rho, a.r AS row1, a.c AS col1, b.r AS row2, b.c AS col2, n_px FROM lg JOIN ct ON lg.t = ct.t AND lg.rho = ct.rho AND lg.run = ct.run WHERE 2 * own >= n_px"""
+
+
+@query("all_line_segments", ACC + _ALL, needs=("classes1",))
+def all_line_segments(spark, d):
+    """Runs along every line with enough votes, not only the strongest."""
+    return ho.all_segments(_built(spark, d), min_length=10, gap=3).select("t", "rho", "row1", "col1", "row2", "col2", "n_px")
+
+
 def _grouped(spark, d):
     segs = checkpoint(_segments(spark, d).withColumns({"year": F.lit(2022), "seg": F.concat_ws("-", "peak", "row1", "col1", "row2", "col2")}))
     rated = ho.hit_rate(segs, classes(spark, d, 1).withColumn("year", F.lit(2022)))

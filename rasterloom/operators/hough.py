@@ -113,6 +113,47 @@ def segments(
     return with_bearing_and_length(out, resolution)
 
 
+def all_segments(
+    edges: DataFrame, keys: Sequence[str] = (), min_length: float = 150.0,
+    gap: float = cfg.LINE_GAP_PX, width: float = 1.0, resolution: float = 10.0,
+) -> DataFrame:
+    """Straight runs of edge pixels along every line that can hold one: all
+    accumulator cells with the votes a run of `min_length` pixels with gaps of
+    at most `gap` needs, however many and however weak beside the strongest.
+
+    Neighbouring cells find nearly the same run. Each pixel counts for the
+    longest run through it (then more pixels, smaller angle, smaller rho), and
+    a run stays if at least half of its pixels count for it. Pixels meet their
+    cells in an equi-join; a window holds one line or the lines of one pixel,
+    so the work is 180 x (2 x width + 1) rows for each edge pixel."""
+    layer = list(keys) or ["_layer"]
+    edges = edges if keys else edges.withColumn("_layer", F.lit(0))
+    cells = votes(edges, layer).where(F.col("n") >= min_length / (gap + 1)).select(*layer, "t", "rho")
+    x, y, th = F.col("col"), F.col("row"), theta(F.col("t"))
+    cast = edges.select(*layer, "row", "col", F.explode(F.sequence(F.lit(0), F.lit(ANGLES - 1))).alias("t"))
+    d = x * F.cos(th) + y * F.sin(th)
+    near = F.sequence(F.ceil(F.round(d - width, 9)).cast("int"), F.floor(F.round(d + width, 9)).cast("int"))
+    on = cast.withColumn("_p", F.round(y * F.cos(th) - x * F.sin(th), 6)).withColumn("rho", F.explode(near)).join(cells, [*layer, "t", "rho"])
+    line = [*layer, "t", "rho"]
+    w = Window.partitionBy(*line).orderBy("_p", "row", "col")
+    on = on.withColumn("_new", (F.col("_p") - F.lag("_p").over(w) > gap).cast("int"))
+    on = on.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = on.groupBy(*line, "_run").agg(
+        F.min(F.struct("_p", "row", "col")).alias("a"), F.max(F.struct("_p", "row", "col")).alias("b"), F.count(F.lit(1)).alias("n_px"),
+    ).withColumn("_length", F.round(F.col("b._p") - F.col("a._p"), 6)).where(F.col("_length") >= min_length)
+    rank = F.struct("_length", "n_px", (-F.col("t")).alias("_t"), (-F.col("rho")).alias("_r"), (-F.col("_run")).alias("_u"))
+    owned = on.select(*line, "_run", "row", "col").join(ends.select(*line, "_run", "_length", "n_px"), [*line, "_run"])
+    best = owned.groupBy(*layer, "row", "col").agg(F.max(rank).alias("_best"))
+    best = best.select(*layer, (-F.col("_best._t")).alias("t"), (-F.col("_best._r")).alias("rho"), (-F.col("_best._u")).alias("_run"))
+    counted = best.groupBy(*line, "_run").agg(F.count(F.lit(1)).alias("_own"))
+    kept = ends.join(counted, [*line, "_run"]).where(2 * F.col("_own") >= F.col("n_px"))
+    out = kept.select(
+        *keys, "t", "rho", F.col("a.row").alias("row1"), F.col("a.col").alias("col1"),
+        F.col("b.row").alias("row2"), F.col("b.col").alias("col2"), "n_px",
+    )
+    return with_bearing_and_length(out, resolution)
+
+
 def with_bearing_and_length(segs: DataFrame, resolution: float = 10.0) -> DataFrame:
     x1, y1, x2, y2 = F.col("col1"), F.col("row1"), F.col("col2"), F.col("row2")
     return segs.withColumns({
@@ -193,14 +234,16 @@ def hit_rate(segs: DataFrame, classified: DataFrame, keys: Sequence[str] = ("yea
     return rated.withColumn("builtup_pct", F.round(100.0 * F.coalesce("_hits", F.lit(0)) / n, 1)).drop("_hits")
 
 
-def line_summary(grouped: DataFrame, keys: Sequence[str] = ("year",)) -> DataFrame:
+def line_summary(grouped: DataFrame, keys: Sequence[str] = ("year",), layers: DataFrame | None = None) -> DataFrame:
     """Per layer: segment and group counts, the dominant group's bearing,
-    total and longest length, its hit rate and the longest segment."""
+    total and longest length, its hit rate and the longest segment. `layers`
+    lists all layers, so that one without any segment has a row too: counts
+    and lengths 0, no bearing."""
     keys = list(keys)
     top = F.col("group") == 1
     length = F.col("length_m")
     rate = F.sum(F.when(top, F.col("builtup_pct") * length)) / F.greatest(F.max(F.when(top, F.col("group_total_len_m"))), F.lit(1e-9))
-    return grouped.groupBy(*keys).agg(
+    out = grouped.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_segments"), F.max("group").alias("n_groups"),
         F.round(F.max(F.when(top, F.col("group_bearing_deg"))), 2).alias("dominant_bearing_deg"),
         F.round(F.max(F.when(top, F.col("group_total_len_m"))), 1).alias("dominant_total_len_m"),
@@ -208,6 +251,10 @@ def line_summary(grouped: DataFrame, keys: Sequence[str] = ("year",)) -> DataFra
         F.count_if(top).alias("dominant_n_segments"),
         F.round(rate, 1).alias("dominant_builtup_pct"), F.round(F.max(length), 1).alias("longest_single_segment_m"),
     )
+    if layers is None:
+        return out
+    zero = [c for c in out.columns if c not in (*keys, "dominant_bearing_deg")]
+    return layers.select(*keys).distinct().join(out, keys, "left").na.fill(0, zero)
 
 
 def bearing_gap(summary: DataFrame, axes: DataFrame, keys: Sequence[str] = ("year",)) -> DataFrame:

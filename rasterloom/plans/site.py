@@ -78,9 +78,9 @@ def line_analysis(edges: DataFrame, classified: DataFrame, fence, affine, extent
     res = abs(affine[0])
     e = checkpoint(edges.where(inside))
     lines = checkpoint(ho.peaks(ho.votes(e, ["year"]), ["year"]))
-    segs = ho.segments(e, lines, ["year"], min_length=round(min_length_m / res), resolution=res)
-    segs = checkpoint(segs.withColumn("seg", F.concat_ws("-", "peak", "row1", "col1", "row2", "col2")))
+    segs = ho.all_segments(e, ["year"], min_length=round(min_length_m / res), resolution=res)
+    segs = checkpoint(segs.withColumn("seg", F.concat_ws("-", "t", "rho", "row1", "col1", "row2", "col2")))
     grouped = checkpoint(ho.group_segments(ho.hit_rate(segs, classified)))
     built = classified.where((F.col("class") == cfg.BUILT_UP) & inside)
     axis = co.largest_component(co.connected_components(built, extent, ["year"]), ["year"])
-    return ho.bearing_gap(ho.line_summary(grouped), axis), grouped, axis, lines
+    return ho.bearing_gap(ho.line_summary(grouped, layers=classified.select("year")), axis), grouped, axis, lines

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom import config as cfg
@@ -21,17 +21,20 @@ def write_raster(df: DataFrame, path: str, tile: int = TILE, mode: str = "overwr
 
 
 def write_csv(df: DataFrame, path: str, keep_header_when_empty: bool = False) -> bool:
-    """Table with a header. An empty table writes nothing unless the header
-    is wanted; returns whether something was written. No byte-order mark."""
-    if df.isEmpty():
-        if not keep_header_when_empty:
-            return False
-        spark = df.sparkSession
+    """Table with a header. An empty table leaves nothing unless the header
+    is wanted; returns whether something was written. No byte-order mark. The
+    table is computed once: its rows are counted while they are written."""
+    spark, seen = df.sparkSession, Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    if seen.get["n"]:
+        return True
+    if keep_header_when_empty:
         header = spark.createDataFrame([(",".join(df.columns),)], "value string")
         header.coalesce(1).write.mode("overwrite").text(path)
         return True
-    df.write.mode("overwrite").option("header", True).csv(path)
-    return True
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return False
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -52,19 +55,34 @@ def existing_years(spark: SparkSession, path: str) -> set[int]:
     return {int(n.split("=")[1]) for n in names if n.startswith("year=")}
 
 
-def write_missing_years(df: DataFrame, path: str, years: Sequence[int] | None = None) -> None:
-    """Resume: only years without a result are computed and written, each
-    replacing just its own partition. The year filter is pushed into the
+def finished_years(spark: SparkSession, path: str) -> dict[int, int | None]:
+    """Years whose results are complete, with the batch that wrote them. A
+    year is noted after its write has ended; a folder alone says nothing."""
+    notes = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_finished")
+    if not notes.getFileSystem(spark._jsc.hadoopConfiguration()).exists(notes):
+        return {}
+    return {r.year: r.batch for r in spark.read.schema("year int, batch long").parquet(f"{path}/_finished").collect()}
+
+
+def write_missing_years(df: DataFrame, path: str, years: Sequence[int] | None = None, batch: int | None = None) -> None:
+    """Resume: only years without a finished result are computed and written,
+    each replacing just its own partition. The year filter is pushed into the
     plan of `df`, so finished years are not read again."""
-    done = existing_years(df.sparkSession, path)
+    spark = df.sparkSession
+    done = [y for y, by in finished_years(spark, path).items() if batch is None or by != batch]
     todo = df.where(~F.col("year").isin(*done)) if done else df
     if years is not None:
         left = [y for y in years if y not in done]
         if not left:
             return
         todo = todo.where(F.col("year").isin(*left))
+    seen = Observation()
+    todo = todo.observe(seen, F.collect_set("year").alias("years"))
     writer = todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("year").parquet(path)
+    rows = [(int(y), batch) for y in seen.get["years"]]
+    if rows:
+        spark.createDataFrame(rows, "year int, batch long").coalesce(1).write.mode("append").parquet(f"{path}/_finished")
 
 
 def feature_json(df: DataFrame, geometry_type: str, coordinates: str, properties: Sequence[str]) -> DataFrame:

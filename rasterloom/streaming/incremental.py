@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rasterloom import config as cfg, sinks
@@ -50,9 +51,16 @@ def extend_years(
     years: Sequence[int] | None = None,
 ) -> StreamingQuery:
     """Run a yearly computation on each arriving batch of whole years and add
-    the years that have no result yet."""
-    def add(batch: DataFrame, _batch_id: int) -> None:
-        sinks.write_missing_years(compute(batch), out, years)
+    the years that have no result yet. Rows of a year that an earlier batch
+    has finished cannot be merged into its result, so they stop the stream; a
+    batch that is repeated after a failure writes its own years again."""
+    def add(batch: DataFrame, batch_id: int) -> None:
+        finished = sinks.finished_years(batch.sparkSession, out)
+        late = batch.where(F.col("year").isin(*[y for y, by in finished.items() if by != batch_id])) if finished else batch.limit(0)
+        found = late.select("year").take(1)
+        if found:
+            raise ValueError(f"rows of the finished year {found[0][0]} arrived late; remove its result to compute it again")
+        sinks.write_missing_years(compute(batch), out, years, batch_id)
 
     writer = stream.writeStream.foreachBatch(add).trigger(availableNow=True)
     return writer.option("checkpointLocation", checkpoint_path).start()

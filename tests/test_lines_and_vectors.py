@@ -126,3 +126,24 @@ def test_sectors_and_rings(spark):
     assert all(r.s == r.got for r in df.withColumn("got", geo.compass_sector(F.col("dx"), F.col("dy"))).collect())
     lab = spark.createDataFrame([(0.0,), (2000.0,), (5999.9,), (6000.0,)], "d double").select(geo.band_label(F.col("d"), [0, 2000, 4000, 6000]).alias("l"))
     assert [r.l for r in lab.collect()] == ["0-2000", "2000-4000", "4000-6000", None]
+
+
+def test_every_line_is_found(spark):
+    """Six lines of one length, and a weak one beside them."""
+    from rasterloom.operators import hough as ho
+
+    px = {(r, c) for r in (5, 25, 45, 65, 85, 105) for c in range(10, 90)} | {(r, 130) for r in range(40, 65)}
+    edges = spark.createDataFrame(sorted(px), "row int, col int")
+    found = ho.all_segments(edges, min_length=20, gap=3).collect()
+    rows = {r.row1 for r in found if r.row1 == r.row2 and abs(r.col2 - r.col1) == 79}
+    assert rows == {5, 25, 45, 65, 85, 105}
+    assert [abs(r.row2 - r.row1) for r in found if r.col1 == r.col2 == 130] == [24]
+    assert len(found) == 7
+
+
+def test_a_year_without_segments_has_a_row(spark):
+    from rasterloom.operators import hough as ho
+
+    segs = spark.createDataFrame([(2022, 1, 45.0, 100.0, 50.0, 45.0, 100.0)], "year int, group int, bearing_deg double, length_m double, builtup_pct double, group_bearing_deg double, group_total_len_m double")
+    out = {r.year: r for r in ho.line_summary(segs, layers=spark.createDataFrame([(2022,), (2024,)], "year int")).collect()}
+    assert out[2022].n_segments == 1 and out[2024].n_segments == 0 and out[2024].longest_single_segment_m == 0 and out[2024].dominant_bearing_deg is None

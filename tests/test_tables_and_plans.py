@@ -149,6 +149,9 @@ def test_streaming_years(spark, folder):
     df.where("year = 2022").write.parquet(f"{folder}/in/b")
     run()
     assert {r.year: r.n for r in spark.read.parquet(f"{folder}/out").collect()} == {2020: N * N, 2022: N * N}
+    df.where("year = 2022").limit(3).write.parquet(f"{folder}/in/late")
+    with pytest.raises(Exception, match="arrived late"):
+        run()
 
 
 def test_exploratory_plan(spark, folder):
@@ -211,3 +214,20 @@ def test_site_plan(spark, folder):
 def test_every_query_has_a_reader():
     queries, oracles = load()
     assert len(queries) > 100 and set(oracles) <= set(queries)
+
+
+def test_quantiles_split_a_crowded_bucket(spark, rng):
+    """One far outlier presses everything else into a single bucket."""
+    from rasterloom.operators.quantiles import exact_quantiles
+
+    a = np.r_[rng.normal(size=3000), np.full(500, 0.25), 1e9]
+    b = np.r_[rng.normal(size=800) * 1e-6, -1e300, 1e300]
+    df = spark.createDataFrame([("a", float(x)) for x in a] + [("b", float(x)) for x in b], "k string, v double")
+    probs = [0.0, 0.013, 0.5, 0.75, 0.999, 1.0]
+    got = {(r.k, r.p): r.q for r in exact_quantiles(df, ["k"], "v", probs, buckets=64, limit=50).collect()}
+    for k, x in (("a", a), ("b", b)):
+        for p in probs[:5]:
+            assert got[k, p] == pytest.approx(np.quantile(x, p), rel=1e-9)
+        assert got[k, 1.0] == x.max()
+    alone = {r.p: r.q for r in exact_quantiles(df.where("k = 'a'"), [], "v", probs, buckets=16, limit=10).collect()}
+    assert alone[0.5] == pytest.approx(np.median(a))
