@@ -6,13 +6,15 @@
    a known number of retained values, so it suffices to list each sketch under
    its rarest values, as many as can be missed plus one (prefix filter):
    values of common passages hardly ever count.
-3. Pairs from the lists are estimated on the k smallest values of the union of
-   both sketches; what could still reach the threshold is verified on the full
-   sets.
-4. Only what could join two groups is looked at. A long list (a large group of
-   copies, as a rule) first meets a few of its members; lists that still hold
-   more than one group meet more, in the end each pair of different groups.
-   No pair is dropped, and pairs inside one group are never formed.
+3. Pairs from short lists are estimated on the k smallest values of the union
+   of both sketches; what could still reach the threshold is verified on the
+   full sets.
+4. Long lists (large groups of copies, as a rule) would make very many pairs.
+   Nodes that long lists connect form clusters; a cluster is cut into blocks of
+   bounded size, and each pair of blocks is verified at once on the full sets,
+   as a product of two incidence matrices. It answers with a spanning forest
+   of its links: rows grow with the cluster, not with its pairs, and no task
+   holds more than two blocks. No pair is dropped.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ from .graph import connected_components
 
 SHINGLE = 5
 SKETCH = 64
-SHORT = 32  # lists up to this length form all their pairs at once
+SHORT = 8  # lists up to this length form all their pairs
+BLOCK = 200_000  # shingles in a block of a cluster
+CELLS = 4_000_000  # of an incidence matrix at a time
+HELD = 1_000_000  # shingles of earlier texts that a task keeps while it verifies
 SIGMAS = 6  # the estimate may fall this many standard deviations short
 
 
@@ -91,23 +96,20 @@ def _lists(nodes: DataFrame, k: int, similarity: float) -> DataFrame:
     return checkpoint(rows)
 
 
-def _pairs(lists: DataFrame, leaders: int | None, similarity: float, groups: DataFrame | None) -> DataFrame:
-    """Distinct pairs a < b of different groups and fitting sizes from the
-    given lists: with some leaders of each list, or all pairs."""
+def _pairs(lists: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs a < b of fitting sizes from short lists."""
     c = F.col
-    if groups is not None:
-        lists = lists.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
-    else:
-        lists = lists.withColumn("g", c("node"))
-    if leaders:
-        salt = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-        other = lists.groupBy("v", salt.alias("salt")).agg(F.min(F.struct("node", "n", "g")).alias("o"))
-    else:
-        other = lists.select("v", F.struct("node", "n", "g").alias("o"))
-    p = lists.join(other, "v").where((c("g") != c("o.g")) & (c("n") >= similarity * c("o.n")) & (c("o.n") >= similarity * c("n")))
-    if not leaders:
-        p = p.where(c("node") < c("o.node"))
-    return p.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+    other = lists.select("v", F.struct("node", "n").alias("o"))
+    p = lists.join(other, "v").where((c("node") < c("o.node")) & (c("n") >= similarity * c("o.n")) & (c("o.n") >= similarity * c("n")))
+    return p.select(c("node").alias("a"), c("o.node").alias("b")).distinct()
+
+
+def _matrix(lists: pa.ListArray, k: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows, filled up with values that no hash and no other side has."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    out = np.full((len(sizes), k), 2**64 - 1 - fill, np.uint64)
+    out[np.arange(k) < sizes[:, None]] = lists.flatten().to_numpy().view(np.uint64)
+    return out, sizes
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -116,20 +118,19 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
 
     def run(batches):
         for b in batches:
-            keep, value = [], []
-            for i, (x, y, m, n) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
-                x, y = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
-                both, union = np.intersect1d(x, y, True), np.union1d(x, y)
-                exact = m <= k and n <= k
-                if not exact:
-                    union = union[:k]
-                    both = both[both <= union[-1]]
-                j = len(both) / len(union)
-                if j >= similarity - (1e-9 if exact else slack):
-                    keep.append(i)
-                    value.append(j)
-            part = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(value, pa.float64())], ["a", "b", "estimate"])
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                x, m = _matrix(part.column(2), k, 0)
+                y, n = _matrix(part.column(3), k, 1)
+                both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+                same = both[:, 1:] == both[:, :-1]
+                rank = np.arange(1, 2 * k) - np.cumsum(same, axis=1)  # of the distinct value, from 0 on
+                exact = (part.column(4).to_numpy() <= k) & (part.column(5).to_numpy() <= k)
+                size = np.where(exact, m + n - same.sum(axis=1), k)
+                share = np.where(exact, same.sum(axis=1), (same & (rank < k)).sum(axis=1)) / np.maximum(size, 1)
+                keep = share >= similarity - np.where(exact, 1e-9, slack)
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(keep)) for c in part.columns[:2]), pa.array(share[keep])], ["a", "b", "estimate"])
 
     one = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
     two = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"), "n")
@@ -141,14 +142,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, share: tuple[int, int], size:
     """The pairs whose full sets fulfil share[1] * intersection >= share[0] * union."""
     def run(batches):
         unpress = zstandard.ZstdDecompressor()
-        last, left = None, None
+        known, held = {}, 0  # sets of texts seen before, up to a bound
+
+        def words(packed: bytes) -> frozenset:
+            nonlocal held
+            found = known.get(packed)
+            if found is None:
+                found = frozenset(shingle_set(unpress.decompress(packed), size).tolist())
+                if held > HELD:
+                    known.clear()
+                    held = 0
+                known[packed] = found
+                held += len(found)
+            return found
+
         for b in batches:
             keep = []
-            for i, (a, x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if x != last:
-                    last, left = x, shingle_set(unpress.decompress(x), size)
-                right = shingle_set(unpress.decompress(y), size)
-                both = len(np.intersect1d(left, right, True))
+            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                left, right = words(x), words(y)
+                both = len(left & right)
                 if share[1] * both >= share[0] * (len(left) + len(right) - both):
                     keep.append(i)
             yield b.take(pa.array(keep, pa.int64())).select(["a", "b"])
@@ -157,6 +169,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, share: tuple[int, int], size:
     return checkpoint(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
+def _cluster_links(lists: DataFrame, texts: DataFrame, share: tuple[int, int], size: int) -> DataFrame:
+    """Links (a, b) that connect whatever the full sets of long lists' members
+    link: of every two blocks of a cluster, a spanning forest."""
+    heads = lists.groupBy("v").agg(F.min("node").alias("b"))
+    clusters = connected_components(lists.join(heads, "v").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "cluster")
+    members = checkpoint(lists.select("node", "n").distinct().join(clusters, "node"))
+    total = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = members.join(total, "cluster").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("node", "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block").join(texts, "node")
+
+    def run(batches):
+        unpress = zstandard.ZstdDecompressor()
+        key, nodes, blocks, sets = None, [], [], []
+        for b in batches:
+            for node, cluster, lo, hi, block, packed in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if (cluster, lo, hi) != key:
+                    if key:
+                        yield from _forest(key, nodes, blocks, sets, share)
+                    key, nodes, blocks, sets = (cluster, lo, hi), [], [], []
+                nodes.append(node)
+                blocks.append(block)
+                sets.append(shingle_set(unpress.decompress(packed), size))
+        if key:
+            yield from _forest(key, nodes, blocks, sets, share)
+
+    sorted_rows = placed.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node")
+    return checkpoint(sorted_rows.mapInArrow(run, "a long, b long"))
+
+
+def _forest(key: tuple, nodes: list, blocks: list, sets: list, share: tuple[int, int]):
+    """Spanning forest of the links between the two blocks (or inside the one) of a key."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1  # shingles of one member alone link nothing
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = count[column] > 1
+    row, column = row[shared], number[column[shared]]
+    inside = np.array(blocks) == key[1]
+    left = np.flatnonzero(inside)
+    right = left if key[1] == key[2] else np.flatnonzero(~inside)
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = max(64, CELLS // len(sets))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (lo, lo + width))
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[i:j], column[i:j] - lo] = 1
+        both += m[left] @ m[right].T
+    union = sizes[left][:, None] + sizes[right][None] - both
+    linked = np.zeros((len(sets), len(sets)), bool)
+    linked[np.ix_(left, right)] = share[1] * both >= share[0] * union
+    linked |= linked.T
+    waiting = np.ones(len(sets), bool)
+    a, b = [], []
+    for start in range(len(sets)):
+        if waiting[start]:
+            waiting[start] = False
+            queue = [start]
+            for u in queue:
+                found = np.flatnonzero(linked[u] & waiting).tolist()
+                waiting[found] = False
+                queue += found
+                a += [nodes[u]] * len(found)
+                b += [nodes[x] for x in found]
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _packed(batches):
     press = zstandard.ZstdCompressor(level=1)
     for b in batches:
@@ -182,36 +264,12 @@ def near_duplicates(df: DataFrame, share: tuple[int, int] = (85, 100), k: int =
     lists = _lists(nodes, k, similarity)
     lengths = lists.groupBy("v").agg(F.count("*").alias("members")).where("members > 1")
     lists = checkpoint(lists.join(lengths, "v"))
-    groups, texts = None, None
-    for leaders in (4, 64, None):
-        if leaders == 4:
-            short, long = lists.where(F.col("members") <= SHORT), lists.where(F.col("members") > SHORT)
-            pairs = _pairs(short, None, similarity, None).unionByName(_pairs(long, leaders, similarity, None)).distinct()
-        else:
-            # long lists that hold more than one group
-            marked = long.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
-            mixed = marked.groupBy("v").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("v")
-            long = checkpoint(long.join(mixed, "v", "left_semi"))
-            if long.isEmpty():
-                break
-            pairs = _pairs(long, leaders, similarity, groups)
-        pairs = _estimated(pairs, nodes, k, similarity)
-        if texts is None:
-            seen = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            packed = docs.mapInArrow(_packed, "node long, packed binary")
-            # members of lists, so that later rounds find their texts too
-            seen = seen.unionByName(long.select("node")).distinct()
-            texts = checkpoint(packed.join(seen, "node", "left_semi"))
-        # one likely link for each node first: it settles most others
-        best = checkpoint(pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("estimate"), F.col("a"))).alias("a")).select("a", "b"))
-        links.append(_verified(best, texts, share, size))
-        groups = checkpoint(connected_components(_all(links)))
-        ga, gb = (groups.select(F.col("node").alias(x), F.col("component").alias("g" + x)) for x in "ab")
-        rest = pairs.join(best, ["a", "b"], "left_anti").join(ga, "a", "left").join(gb, "b", "left")
-        rest = checkpoint(rest.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"))
-        if not rest.isEmpty():
-            links.append(_verified(rest, texts, share, size))
-            groups = checkpoint(connected_components(_all(links)))
+    short, long = lists.where(F.col("members") <= SHORT), lists.where(F.col("members") > SHORT)
+    pairs = _estimated(_pairs(short, similarity), nodes, k, similarity)
+    seen = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
+    texts = checkpoint(docs.mapInArrow(_packed, "node long, packed binary").join(seen, "node", "left_semi"))
+    links += [_verified(pairs.select("a", "b"), texts, share, size), _cluster_links(long, texts, share, size)]
+    groups = checkpoint(connected_components(_all(links)))
 
     out = sketches.select("doc_id", "n_shingles", "digest").join(heads, "digest", "left").join(groups, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
