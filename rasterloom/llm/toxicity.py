@@ -58,7 +58,7 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.value = Memo(self._value, 200_000)
+        self.value = Memo(self._value, 100_000)
 
     def _value(self, word: str) -> float:
         get = self.model.weights.get
@@ -216,7 +216,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
 
     def run(batches):
         s = model.scorer()
-        for b in batches:
+        for b in _slices(batches):
             texts = b.column(1).cast(pa.string()).to_pylist()
             scores = [s.score(t) for t in texts]
             spans = [[dict(zip(("start", "end", "probability"), x, strict=True)) for x in s.sentences(t)] if p >= threshold else [] for t, p in zip(texts, scores, strict=True)]
@@ -226,13 +226,20 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
     return documents(docs, id_col, text_col).mapInArrow(run, schema).withColumn("doc_id", id_out())
 
 
+def _slices(batches, rows: int = 256):
+    """A few rows at a time: what Python holds does not follow the batch size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text scores below the threshold."""
     at = docs.columns.index(text_col)
 
     def run(batches):
         s = model.scorer()
-        for b in batches:
+        for b in _slices(batches):
             yield b.filter(pa.array([s.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
