@@ -219,6 +219,35 @@ def test_leaks_copies_paraphrases_and_clean_documents(spark, rng, odd):
     assert decontaminate.without_leaks(odd.limit(0), bench).count() == 0
 
 
+def test_every_exact_copy_is_a_candidate(spark):
+    """Each item pasted unchanged at random places of real documents, and items cut to few words."""
+    from rasterloom.llm.decontaminate import Item, _candidates, _queries, hashed_documents, judge, latent_space, read_item
+
+    rng, d = np.random.default_rng(5), "/root/testdata/sf0.01"
+    words = hashed_documents(spark.read.parquet(f"{d}/documents.parquet"))
+    space = latent_space(words)
+    texts = [w for r in words.collect() if len(w := np.frombuffer(r.words, "<u4")) > 300]
+    items = [read_item(i, r.text.encode()) for i, r in enumerate(spark.read.parquet(f"{d}/benchmark.parquet").collect())]
+    items += [Item(len(items) + i, x.words[:n], x.words[n - 1 : n]) for i, x in enumerate(items[::2]) for n in (5, 8)]
+    rows, owner = [], []
+    for k, item in enumerate(items):
+        for _ in range(20):
+            at = rng.integers(0, 300)
+            w = texts[rng.integers(len(texts))]
+            rows.append(np.r_[w[:at], np.array(item.words, "<u4"), w[at : at + 300]])
+            owner.append(k)
+    table = np.vstack([space.axes, np.zeros((1, space.axes.shape[1]), np.float32)])
+    found = _candidates(rows, _queries(items, space), table, decontaminate.COSINE)
+    assert all((r, k) in found for r, k in enumerate(owner))
+    assert all(judge(items[k], rows[r].tolist())[0] for r, k in enumerate(owner))
+
+
+def test_copy_in_the_only_passage_is_found(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()] == [(1, 7)]
+
+
 # ------------------------------------------------------------------ pipeline
 
 @pytest.mark.parametrize("name", [s[0] for s in corpus_pipeline.STAGES])
