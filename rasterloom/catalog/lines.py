@@ -93,7 +93,7 @@ def line_segments(spark, d):
     return rounded(_segments(spark, d), "length_m", "bearing_deg", digits=4)
 
 
-_ALL = """, cand AS (SELECT t, rho FROM acc WHERE n >= 2.5),
+_RUNS = """, cand AS (SELECT t, rho FROM acc WHERE n >= 2.5),
  px AS (SELECT e."row", e.col, q.t, radians(q.t - 90.0::DOUBLE) AS th FROM (SELECT * FROM classes1 WHERE class = 3) e CROSS JOIN (SELECT CAST(unnest(range(180)) AS INT) AS t) q),
  pr AS (SELECT "row", col, t, round("row" * cos(th) - col * sin(th), 6) AS pos, CAST(unnest(range(CAST(ceil(round(col * cos(th) + "row" * sin(th) - 1, 9)) AS INT), CAST(floor(round(col * cos(th) + "row" * sin(th) + 1, 9)) AS INT) + 1)) AS INT) AS rho FROM px),
  onl AS (SELECT pr.* FROM pr JOIN cand ON pr.t = cand.t AND pr.rho = cand.rho),
@@ -102,7 +102,8 @@ _ALL = """, cand AS (SELECT t, rho FROM acc WHERE n >= 2.5),
  sg AS (SELECT t, rho, run, count(*) AS n_px, min({'p': pos, 'r': "row", 'c': col}) AS a, max({'p': pos, 'r': "row", 'c': col}) AS b FROM rn GROUP BY 1, 2, 3),
  lg AS (SELECT *, round(b.p - a.p, 6) AS len FROM sg WHERE round(b.p - a.p, 6) >= 10),
  ow AS (SELECT rn."row", rn.col, lg.t, lg.rho, lg.run, row_number() OVER (PARTITION BY rn."row", rn.col ORDER BY len DESC, n_px DESC, lg.t, lg.rho, lg.run) AS k FROM rn JOIN lg ON rn.t = lg.t AND rn.rho = lg.rho AND rn.run = lg.run),
- ct AS (SELECT t, rho, run, count(*) AS own FROM ow WHERE k = 1 GROUP BY 1, 2, 3)
+ ct AS (SELECT t, rho, run, count(*) AS own FROM ow WHERE k = 1 GROUP BY 1, 2, 3)"""
+_ALL = _RUNS + """
 SELECT lg.t, lg.rho, a.r AS row1, a.c AS col1, b.r AS row2, b.c AS col2, n_px FROM lg JOIN ct ON lg.t = ct.t AND lg.rho = ct.rho AND lg.run = ct.run WHERE 2 * own >= n_px"""
 
 
@@ -112,8 +113,13 @@ def all_line_segments(spark, d):
     return ho.all_segments(_built(spark, d), min_length=10, gap=3).select("t", "rho", "row1", "col1", "row2", "col2", "n_px")
 
 
+def _all_segments(spark, d):
+    segs = ho.all_segments(_built(spark, d), min_length=10, gap=3)
+    return checkpoint(segs.withColumn("seg", F.concat_ws("-", "t", "rho", "row1", "col1", "row2", "col2")))
+
+
 def _grouped(spark, d):
-    segs = checkpoint(_segments(spark, d).withColumns({"year": F.lit(2022), "seg": F.concat_ws("-", "peak", "row1", "col1", "row2", "col2")}))
+    segs = _all_segments(spark, d).withColumn("year", F.lit(2022))
     rated = ho.hit_rate(segs, classes(spark, d, 1).withColumn("year", F.lit(2022)))
     return ho.group_segments(rated)
 
@@ -130,18 +136,34 @@ def hit_rate(spark, d):
     return rated.select("peak", "row1", "col1", "row2", "col2", "builtup_pct")
 
 
+_SEG = ["t", "rho", "row1", "col1", "row2", "col2"]
+
+
+@query("hit_rate_all_lines", ACC + _RUNS + """, sid AS (SELECT *, greatest(CAST(floor(length_m / 10) AS INT), 2) AS np FROM (SELECT lg.t, lg.rho, a.r AS row1, a.c AS col1, b.r AS row2, b.c AS col2, sqrt(pow(b.c - a.c, 2) + pow(b.r - a.r, 2)) * 10 AS length_m
+   FROM lg JOIN ct ON lg.t = ct.t AND lg.rho = ct.rho AND lg.run = ct.run WHERE 2 * own >= n_px)),
+ pt AS (SELECT *, CAST(trunc(row1 + (row2 - row1) * (i / (np - 1)::DOUBLE)) AS INT) AS r, CAST(trunc(col1 + (col2 - col1) * (i / (np - 1)::DOUBLE)) AS INT) AS c FROM (SELECT *, unnest(range(np)) AS i FROM sid)),
+ hit AS (SELECT t, rho, row1, col1, row2, col2, count(DISTINCT i) AS hits FROM (SELECT pt.*, r + dy AS rr, c + dx AS cc FROM pt CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx)) p
+   JOIN classes1 k ON k."row" = p.rr AND k.col = p.cc WHERE k.class = 3 GROUP BY 1, 2, 3, 4, 5, 6)
+SELECT s.t, s.rho, s.row1, s.col1, s.row2, s.col2, round(100.0::DOUBLE * coalesce(h.hits, 0) / s.np, 1) AS builtup_pct FROM sid s LEFT JOIN hit h
+ ON s.t = h.t AND s.rho = h.rho AND s.row1 = h.row1 AND s.col1 = h.col1 AND s.row2 = h.row2 AND s.col2 = h.col2""", needs=("classes1",))
+def hit_rate_all_lines(spark, d):
+    """As hit_rate, for the runs along every line."""
+    return ho.hit_rate(_all_segments(spark, d), classes(spark, d, 1), keys=[]).select(*_SEG, "builtup_pct")
+
+
 @query("segment_groups")
 def segment_groups(spark, d):
     """Greedy grouping depends on order; tested against brute force."""
     g = _grouped(spark, d)
-    return rounded(g.select("year", "group", "peak", "bearing_deg", "length_m", "builtup_pct", "row1", "col1", "row2", "col2", "group_total_len_m"),
+    return rounded(g.select("year", "group", *_SEG, "bearing_deg", "length_m", "builtup_pct", "group_total_len_m"),
                    "bearing_deg", "length_m", "group_total_len_m", digits=2)
 
 
 @query("line_summary")
 def line_summary(spark, d):
     """Lines of a year against the largest built-up component."""
-    summary = ho.line_summary(_grouped(spark, d))
+    layers = classes(spark, d, 1).select(F.lit(2022).alias("year"))
+    summary = ho.line_summary(_grouped(spark, d), layers=layers)
     axis = co.largest_component(_labelled(spark, d)).withColumn("year", F.lit(2022))
     return ho.bearing_gap(summary, axis)
 

@@ -147,3 +147,18 @@ def test_a_year_without_segments_has_a_row(spark):
     segs = spark.createDataFrame([(2022, 1, 45.0, 100.0, 50.0, 45.0, 100.0)], "year int, group int, bearing_deg double, length_m double, builtup_pct double, group_bearing_deg double, group_total_len_m double")
     out = {r.year: r for r in ho.line_summary(segs, layers=spark.createDataFrame([(2022,), (2024,)], "year int")).collect()}
     assert out[2022].n_segments == 1 and out[2024].n_segments == 0 and out[2024].longest_single_segment_m == 0 and out[2024].dominant_bearing_deg is None
+
+
+def test_line_queries_follow_every_line(spark, tmp_path):
+    """Seven lines, one of them weak; and a map without any built-up pixel."""
+    from rasterloom.catalog import lines
+    from rasterloom.catalog.base import WIDTH
+
+    px = {(r, c) for r in (5, 25, 45, 65, 85, 105) for c in range(10, 90)} | {(r, 99) for r in range(40, 65)}
+    cells = [(r * WIDTH + c, 3.0 if (r, c) in px else 0.0) for r in range(110) for c in range(100)]
+    for name, rows in (("lines", cells), ("none", [(i, 0.0) for i, _ in cells])):
+        spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/{name}/events.parquet")
+    found = lines.line_summary(spark, f"{tmp_path}/lines").first()
+    assert found.n_segments >= 7 and found.n_groups == 2 and found.dominant_n_segments >= 6
+    empty = lines.line_summary(spark, f"{tmp_path}/none").collect()
+    assert [(r.year, r.n_segments) for r in empty] == [(2022, 0)]
