@@ -39,6 +39,7 @@ STEP = 4  # words between the starts of windows
 SHORT = 10  # items under so many words are searched for at every word
 LONGEST = 64  # words of a window; longer items are searched for in pieces
 NEAR = 16  # words within which the starts of candidates are read together
+RUN = 30  # words in a row that are a leak of any longer item
 SPAN = 4096  # words compared at a time: their arrays stay in a core's cache
 COSINE = 0.33  # no exact copy measured under 0.68, no other leak under 0.35 (items of 15 to 59 words)
 ITEMS = 5_000  # items searched for in one pass
@@ -195,6 +196,28 @@ class Item:
     def distinct(self) -> set[int]:
         return set(self.words)
 
+    @cached_property
+    def places(self) -> dict[int, list[int]]:
+        out: dict = {}
+        for i, x in enumerate(self.words):
+            out.setdefault(x, []).append(i)
+        return out
+
+    def passage(self, near: list[int]) -> bool:
+        """RUN words in a row of the item, or nearly all of one piece of a long one."""
+        if len(self.words) < RUN or sum(x in self.distinct for x in near) < RUN:
+            return False
+        runs: dict = {}
+        for x in near:
+            runs = {i: runs.get(i - 1, 0) + 1 for i in self.places.get(x, ())}
+            if runs and max(runs.values()) >= RUN:
+                return True
+        if len(self.words) <= LONGEST:
+            return False
+        pieces = (p.tolist() for p in _pieces(np.array(self.words, np.uint32)))
+        parts = [near[lo : lo + 3 * LONGEST] for lo in range(0, len(near), LONGEST)]
+        return any(common_subsequence(p, x) >= 0.8 * len(p) for p in pieces for x in parts)
+
 
 def read_item(item_id: int, text: bytes) -> Item:
     """Words of an item. Its answer is what follows the last question mark or
@@ -210,21 +233,25 @@ def read_item(item_id: int, text: bytes) -> Item:
 
 def judge(item: Item, near: list[int]) -> tuple[bool, float, float]:
     """Whether a neighbourhood repeats an item: nearly all of its words in
-    order, or more than half of them and the answer. Items under eight words
-    must be there whole."""
+    order, or more than half of them and the answer, or RUN words in a row, or
+    nearly all words of one piece of an item longer than a window. Items under
+    eight words must be there whole."""
     n = len(item.words)
     share = 1 - len(item.distinct.difference(near)) / n  # at least the share in order, and quicker
     if share >= (0.55 if n >= 8 else 1.0):
         share = common_subsequence(item.words, near) / n
-    if share < (0.55 if n >= 8 else 1.0):
+    if share >= (0.55 if n >= 8 else 1.0):
+        answer = common_subsequence(item.answer, near) / len(item.answer)
+        if share >= 0.8 or answer >= 0.8:
+            return True, share, answer
+    if not item.passage(near):
         return False, share, 0.0
-    answer = common_subsequence(item.answer, near) / len(item.answer)
-    return share >= 0.8 or answer >= 0.8, share, answer
+    return True, common_subsequence(item.words, near) / n, common_subsequence(item.answer, near) / len(item.answer)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, word, cosine, shared, answer): documents that repeat a
-    benchmark item, one row for each such pair, with the best place.
+    benchmark item or a passage of it (see judge), one row for each such pair, with the best place.
 
     All documents are searched, ITEMS items at a time. Null and empty texts
     repeat nothing; items without words are never found; a missing id stays

@@ -242,6 +242,20 @@ def test_every_exact_copy_is_a_candidate(spark):
     assert all(judge(items[k], rows[r].tolist())[0] for r, k in enumerate(owner))
 
 
+def test_long_passages_of_items_are_leaks(rng):
+    from rasterloom.llm.decontaminate import Item, judge
+
+    for n, lo, k in ((59, 14, 30), (500, 120, 250), (500, 0, 30)):
+        words = rng.integers(1, 2**31, n).tolist()
+        around = rng.integers(1, 2**31, 100).tolist()
+        item = Item(1, words, words[-5:])
+        assert judge(item, around + words[lo : lo + k] + around)[0]
+        assert not judge(item, around + words[lo : lo + 20] + around)[0]
+    changed = words[64:192]
+    changed[::8] = around[:16]  # one word in eight is another
+    assert judge(item, changed)[0]
+
+
 def test_copy_in_the_only_passage_is_found(spark):
     docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "one two three four five six seven eight nine ten")], "item_id long, text string")
