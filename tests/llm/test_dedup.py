@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import pairs, with_low_id  # noqa: F401
+from text_data import pairs, with_low_id  # noqa: F401
 
 import brute
 from rasterloom.llm import blocks, graph, minhash, substring_dedup, suffix_dedup

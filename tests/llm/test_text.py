@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import pairs
+from text_data import pairs
 
 import corpus_pipeline
 from rasterloom.llm import chat_format, decontaminate, host_rules, queries, toxicity, url_filter

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import pairs
+from text_data import pairs
 from tokenizers import Tokenizer as Library
 
 from rasterloom.llm import bpe_stream, token_files
