@@ -5,7 +5,7 @@ from collections import Counter, deque
 
 import numpy as np
 import pytest
-from conftest import array, table
+from rasters import array, table
 from pyspark.sql import functions as F
 
 from rasterloom.operators import components as co, edges as ed, focal, resample as rs, texture as tx, vectors as ve

@@ -3,7 +3,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from conftest import table
+from rasters import table
 from pyspark.sql import functions as F
 
 from rasterloom import config as cfg, sinks
