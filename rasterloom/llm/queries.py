@@ -8,7 +8,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_stream, chat_format, decontaminate, host_rules, minhash, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
+from . import bpe_stream, chat_format, conversation_repair, decontaminate, host_rules, minhash, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
 from .common import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -117,3 +117,40 @@ def op9(spark, d):
 @query("op10_substring_dedup")
 def op10(spark, d):
     return substring_dedup.remove_repeats(read(spark, d, "documents"), digest=True)
+
+
+_OP12 = r"""
+WITH RECURSIVE
+t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+l AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT)), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295::BIGINT) % 20 AS lot FROM k, t),
+d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE lot WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM l),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS x, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+             WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE 'g' END AS fault FROM o),
+n AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated FROM f GROUP BY 1),
+b AS (SELECT conv_id, count(*) FILTER (y IS NOT NULL AND x || y NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, x, lead(x) OVER (PARTITION BY conv_id ORDER BY i) AS y FROM f) GROUP BY 1),
+z AS (SELECT conv_id, n AS i, [{'c': 0, 'a': '', 'r': []::VARCHAR[]}, {'c': 10, 'a': 'II', 'r': ['user:', 'assistant:']}, {'c': 5, 'a': 'I', 'r': ['assistant:']}, {'c': 0, 'a': '', 'r': []::VARCHAR[]}] AS s FROM n
+      UNION ALL
+      SELECT conv_id, i - 1, [list_min([m[1], {'c': 5 + m[3].c, 'a': 'I' || m[3].a, 'r': list_prepend('user:', m[3].r)}]), list_min([m[2], {'c': 5 + m[3].c, 'a': 'I' || m[3].a, 'r': list_prepend('user:', m[3].r)}]), m[3], m[4]]
+      FROM (SELECT conv_id, i, [e[1], e[2], list_min([e[3], {'c': 5 + e[4].c, 'a': 'I' || e[4].a, 'r': list_prepend('assistant:', e[4].r)}]), list_min([e[4], {'c': 5 + e[3].c, 'a': 'I' || e[3].a, 'r': list_prepend('user:', e[3].r)}])] AS m
+        FROM (SELECT z.conv_id, z.i, list_transform([1, 2, 3, 4], lambda q: list_min(list_filter([
+            {'c': 2 + s[q].c, 'a': 'D' || s[q].a, 'r': s[q].r},
+            CASE WHEN fault IN ('g', 't') THEN {'c': 1 + CASE fault WHEN 't' THEN 5 ELSE 0 END + s[CASE q WHEN 3 THEN 4 ELSE 3 END].c, 'a': 'R' || s[CASE q WHEN 3 THEN 4 ELSE 3 END].a,
+                 'r': list_prepend(CASE q WHEN 3 THEN 'assistant:' ELSE 'user:' END || text, s[CASE q WHEN 3 THEN 4 ELSE 3 END].r)} END,
+            CASE WHEN fault IN ('g', 't') AND ((q = 1 AND x = 's') OR (q <> 3 AND x = 'u') OR (q = 3 AND x = 'a')) THEN {'c': CASE fault WHEN 't' THEN 5 ELSE 0 END + s[CASE x WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c,
+                 'a': 'K' || s[CASE x WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].a, 'r': list_prepend(role || ':' || text, s[CASE x WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].r)} END], lambda y: y IS NOT NULL))) AS e
+          FROM z JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id AND f.i = z.i))),
+w AS (SELECT conv_id, s[1] AS s FROM z WHERE i = 0)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(s.c, 0)::BIGINT AS cost, coalesce(s.a, '') AS audit, sha256(coalesce(array_to_string(s.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op12_conversation_repair", _OP12)
+def op12(spark, d):
+    rows = conversation_repair.damaged(read(spark, d, "conversations"))
+    return conversation_repair.summarise(conversation_repair.repair(rows.where("NOT dropped"), rows.where("dropped")))
