@@ -8,7 +8,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_stream, chat_format, conversation_repair, decontaminate, host_rules, minhash, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
+from . import bpe_stream, chat_format, conversation_repair, decontaminate, hard_negatives, host_rules, minhash, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
 from .common import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -154,3 +154,20 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS
 def op12(spark, d):
     rows = conversation_repair.damaged(read(spark, d, "conversations"))
     return conversation_repair.summarise(conversation_repair.repair(rows.where("NOT dropped"), rows.where("dropped")))
+
+
+_OP13 = """
+WITH r AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS INT) AS rank, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) <= 3
+"""
+
+
+@query("op13_hard_negatives", _OP13)
+def op13(spark, d):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, d, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
