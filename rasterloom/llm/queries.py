@@ -8,7 +8,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_stream, chat_format, conversation_repair, decontaminate, hard_negatives, host_rules, minhash, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
+from . import bpe_stream, chat_format, conversation_repair, decontaminate, hard_negatives, host_rules, minhash, quality_net, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
 from .common import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -171,3 +171,11 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score
 def op13(spark, d):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(read(spark, d, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_quality_network")
+def op11(spark, d):
+    docs = read(spark, d, "documents")
+    table = quality_net.word_table(docs)
+    scored = quality_net.score_documents(docs, table, quality_net.fit(docs, read(spark, d, "labels"), table))
+    return scored.select("doc_id", (quality_net.fold(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
