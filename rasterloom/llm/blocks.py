@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents, documents_columns, pack, partitions, shared_folder, unpack
+from .common import documents, documents_columns, give_back, pack, partitions, shared_folder, unpack
 
 BLOCK_BYTES = 2 << 20
 ASK, TELL = 0, 1  # kinds of exchange rows: for a bucket's reducer; for a block as it is
@@ -145,6 +145,8 @@ def answer(asked: DataFrame, decide: Callable[[list[tuple[int, bytes]]], Iterato
                 out, size = [], 0
         if out:
             yield _returns(out)
+        del questions, out
+        give_back()
 
     return asked.repartitionById(n, F.col("bucket")).mapInArrow(run, RETURN)
 

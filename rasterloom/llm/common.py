@@ -8,6 +8,8 @@ ignored, so clashing names in the input do no harm.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import struct
 import uuid
 
@@ -23,7 +25,7 @@ NO_ID = -(2**63)
 WHITE = b" \t\n\r\x0b\x0c"
 MASK64 = (1 << 64) - 1
 
-__all__ = ["NO_ID", "WHITE", "checkpoint", "documents", "id_out", "Memo", "memo", "shared_folder", "partitions", "mix64", "random_odd", "batch"]
+__all__ = ["NO_ID", "WHITE", "checkpoint", "documents", "id_out", "Memo", "memo", "give_back", "shared_folder", "partitions", "mix64", "random_odd", "batch"]
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,6 +91,18 @@ def memo(name, make) -> Memo:
     return _MEMOS[name]
 
 
+def give_back() -> None:
+    """Hand memory that Python and Arrow hold but no longer use back to the
+    system. Workers are used again by later stages, whose executor would
+    otherwise carry what the earlier ones once needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit numbers in place (a bijection)."""
     x ^= x >> np.uint64(30)

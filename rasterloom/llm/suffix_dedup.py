@@ -11,7 +11,15 @@ Content partitioning: every string of `length` bytes is named by the smallest
 hash among its 20-byte pieces, its anchor. Equal strings have equal anchors.
 A first exchange finds anchors that occur more than once; only strings with
 such anchors travel, together with their neighbours of the same anchor as one
-fragment. A text block sends equal fragments once.
+fragment. A text block sends equal fragments once, and a bucket keeps one of
+equal fragments before it sorts: a dictionary takes out whole copies, the
+sort decides among fragments that differ but share strings. A bucket is
+sorted in PARTS parts, by anchor, one after the other.
+
+Null and empty texts and texts under `length` bytes stay as they are; a text
+larger than a block is a block of its own; rows that repeat an id are one
+document to each other; a missing id is the smallest; other columns are not
+read (or carried along unread); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +36,8 @@ from .common import id_out, mix64, pack, random_odd, unpack
 LENGTH = 50
 PIECE = 20
 SEGMENT = 1 << 20
+PARTS = 8  # a bucket's strings are sorted in so many parts, one after the other
+_FIRST = np.array([1 << 8 * k for k in range(8)], np.uint64)
 
 
 def two_stage_suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -124,18 +134,22 @@ def _sort_directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarr
     return places
 
 
-def common_prefix_reaches(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Whether each suffix of a sorted list shares `length` bytes with the one before it."""
-    same = np.ones(max(0, len(order) - 1), bool)
+def adjacent_common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Length of what each suffix of a sorted list has in common with the one before it, up to `depth` bytes."""
+    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
     left, right = order[:-1], order[1:]
-    for k in range(0, length, 8):
-        at = min(k, length - 8) if length >= 8 else 0
-        i = np.flatnonzero(same)
-        if length >= 8:
-            same[i] = _words_at(text, left[i] + at) == _words_at(text, right[i] + at)
-        else:
-            same[i] = (text[left[i][:, None] + np.arange(length)] == text[right[i][:, None] + np.arange(length)]).all(1)
-    return same
+    out = np.zeros(len(left), np.int64)
+    i = np.arange(len(left))
+    for at in range(0, depth, 8):
+        apart = _words_at(padded, left[i] + at) ^ _words_at(padded, right[i] + at)
+        alike = apart == 0
+        # bytes before the first that differs, of eight
+        k = np.searchsorted(_FIRST, apart[~alike], side="right")
+        out[i[~alike]] = at + 8 - k
+        i = i[alike]
+        out[i] = at + 8
+    ends = len(text) - np.maximum(left, right)  # a text's end is part of no prefix
+    return np.minimum(np.minimum(out, depth), ends)
 
 
 # ------------------------------------------------------------------ anchors
@@ -247,7 +261,8 @@ def _send(length: int):
         for bucket, i in by_bucket((h[k] % np.uint64(n)).astype(np.int64), n):
             j = k[i]
             body = b"".join([text[lo : lo + c + length - 1] for lo, c in zip(first[j].tolist(), count[j].tolist(), strict=True)])
-            yield bucket, ASK, pack(count[j].astype(np.uint8), planes(first[j].astype(np.uint32)), planes(ids[j]), np.frombuffer(body, np.uint8))
+            part = ((h[j] >> np.uint64(40)) % np.uint64(PARTS)).astype(np.uint8)
+            yield bucket, ASK, pack(count[j].astype(np.uint8), planes(first[j].astype(np.uint32)), planes(ids[j]), part, np.frombuffer(body, np.uint8))
 
     return speak
 
@@ -258,34 +273,39 @@ def _intervals(lo: np.ndarray, hi: np.ndarray) -> bytes:
 
 def _decide(length: int):
     def decide(rows):
+        asked = []
+        for block, data in rows:
+            c, f, i, part, body = unpack(data, "u1", "u1", "u1", "u1", "u1")
+            size = c.astype(np.int64) + length - 1
+            asked.append((block, c.astype(np.int64), unplanes(f, "<u4").astype(np.int64), unplanes(i, "<i8"), part, np.cumsum(size) - size, body.tobytes()))
+        for p in range(PARTS):
+            yield from decide_part([(block, c[k], f[k], i[k], at[k], raw) for block, c, f, i, part, at, raw in asked if len(k := np.flatnonzero(part == p))])
+
+    def decide_part(rows):
+        """Fragments of some anchors only: equal strings have equal anchors, so no other part matters."""
+        if not rows:
+            return
         number: dict[bytes, int] = {}
-        who, count, first, ids, sizes = [], [], [], [], []
-        for _, data in rows:
-            c, f, i, body = unpack(data, "u1", "u1", "u1", "u1")
-            raw, at, mine = body.tobytes(), 0, []
-            for k in c.tolist():
-                mine.append(number.setdefault(raw[at : at + k + length - 1], len(number)))
-                at += k + length - 1
-            who.append(np.array(mine, np.int64))
-            count.append(c.astype(np.int64))
-            first.append(unplanes(f, "<u4").astype(np.int64))
-            ids.append(unplanes(i, "<i8"))
-            sizes.append(len(c))
-        who, count, first, ids = map(np.concatenate, (who, count, first, ids))
+        who = []
+        for _, c, _, _, at, raw in rows:
+            who.append(np.array([number.setdefault(raw[a : a + k + length - 1], len(number)) for a, k in zip(at.tolist(), c.tolist(), strict=True)], np.int64))
+        sizes = [len(w) for w in who]
+        who, count, first, ids = (np.concatenate(x) for x in (who, *zip(*((c, f, i) for _, c, f, i, _, _ in rows), strict=True)))
         text = np.frombuffer(b"".join(number), np.uint8)
         starts = np.zeros(len(number), np.int64)
         span = np.zeros(len(number), np.int64)
         span[who] = count
-        np.cumsum(span[:-1] + length - 1, out=starts[1:])
         owner = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(owner, who, ids)
+        del number
+        np.cumsum(span[:-1] + length - 1, out=starts[1:])
         # all starts of the distinct fragments, in order
         base = np.repeat(np.cumsum(span) - span, span)
         wanted = np.repeat(starts, span) + np.arange(len(base)) - base
         order = two_stage_suffix_array(text, wanted, length)
-        border = np.r_[True, ~common_prefix_reaches(text, order, length)]
+        border = np.r_[True, adjacent_common_prefixes(text, order, length) < length]
         group = np.cumsum(border) - 1
-        fragment = np.repeat(np.arange(len(number)), span)
+        fragment = np.repeat(np.arange(len(span)), span)
         slot = np.searchsorted(wanted, order)  # place of each sorted suffix among the starts
         least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group, owner[fragment[slot]])
@@ -293,7 +313,7 @@ def _decide(length: int):
         least_at[slot] = least[group]
         offset = np.cumsum(span) - span
         at = 0
-        for (block, _), size in zip(rows, sizes, strict=True):
+        for (block, *_), size in zip(rows, sizes, strict=True):
             w, c, f, i = (x[at : at + size] for x in (who, count, first, ids))
             at += size
             base = np.repeat(np.cumsum(c) - c, c)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, id_out
+from .common import Memo, documents, give_back, id_out
 
 PREFIXES = (4, 5, 6)
 STRIP = ".,;:!?()[]{}\"'`«»„“”…-*_"
@@ -234,12 +235,16 @@ def _slices(batches, rows: int = 256):
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose text scores below the threshold."""
-    at = docs.columns.index(text_col)
+    """The rows of `docs`, all columns, whose text scores below the threshold.
+    Only texts go to Python and only verdicts come back."""
 
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = model.scorer()
-        for b in _slices(batches):
-            yield b.filter(pa.array([s.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+        for b in batches:
+            parts = [[s.score(t or "") < threshold for t in b.slice(at, 256).to_pylist()] for at in range(0, len(b), 256)]
+            yield pa.array([x for p in parts for x in p], pa.bool_())
+        del s
+        give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col(f"`{text_col}`")))

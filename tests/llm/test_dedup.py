@@ -24,8 +24,10 @@ def test_common_prefixes(rng):
     text = np.concatenate([rng.integers(0, 2, 500), np.zeros(70)]).astype(np.uint8)
     wanted = np.arange(500)
     order = suffix_dedup.two_stage_suffix_array(text, wanted, 9)
-    same = suffix_dedup.common_prefix_reaches(text, order, 9)
-    assert same.tolist() == [bytes(text[a : a + 9]) == bytes(text[b : b + 9]) for a, b in zip(order[:-1], order[1:], strict=True)]
+    for depth in (1, 5, 8, 9, 17):
+        found = suffix_dedup.adjacent_common_prefixes(text, order, depth)
+        want = [next((k for k in range(depth) if max(a, b) + k >= len(text) or text[a + k] != text[b + k]), depth) for a, b in zip(order[:-1], order[1:], strict=True)]
+        assert found.tolist() == want
 
 
 @pytest.mark.parametrize("size", [300, 2 << 20])
