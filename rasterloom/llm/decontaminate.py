@@ -108,7 +108,8 @@ class Space:
 
 def _summed(df: DataFrame, width: int) -> np.ndarray | None:
     """Sum of one array of doubles per row, in a tree: about the square root of
-    the number of partitions, then one. Each task holds two arrays."""
+    the number of partitions, then one. Each task holds two arrays, and no
+    task runs two Python steps: that would leave it with two workers."""
     def add(batches):
         total = None
         for b in batches:
@@ -119,7 +120,7 @@ def _summed(df: DataFrame, width: int) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     half = max(1, math.isqrt(partitions(df.sparkSession)))
-    rows = df.mapInArrow(add, "part binary").repartition(half).mapInArrow(add, "part binary").repartition(1).mapInArrow(add, "part binary").collect()
+    rows = df.repartition(half).mapInArrow(add, "part binary").repartition(1).mapInArrow(add, "part binary").collect()
     return np.frombuffer(rows[0][0], np.float64) if rows else None
 
 
