@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents, documents_columns, give_back, pack, partitions, shared_folder, unpack
+from .common import bounded_batches, documents, documents_columns, give_back, pack, partitions, shared_folder, unpack
 
 BLOCK_BYTES = 2 << 20
 ASK, TELL = 0, 1  # kinds of exchange rows: for a bucket's reducer; for a block as it is
@@ -77,6 +77,7 @@ def make_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         if texts:
             yield block()
 
+    bounded_batches(spark)
     name, buckets = f"blocks_{uuid.uuid4().hex}", partitions(spark)
     named = documents(df, id_col, text_col)
     if carry:  # under names of their own, so that they clash with nothing

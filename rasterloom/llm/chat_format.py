@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_out
+from .common import NO_ID, bounded_batches, id_out
 
 
 @dataclass(frozen=True)
@@ -72,6 +72,7 @@ def ordered(df: DataFrame) -> DataFrame:
         F.coalesce(c("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"), c("turn").cast("long").alias("turn"),
         F.coalesce(c("role"), F.lit("")).alias("role"), F.coalesce(c("text"), F.lit("")).alias("text"),
     )
+    bounded_batches(df.sparkSession)
     return d.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 

@@ -25,11 +25,22 @@ NO_ID = -(2**63)
 WHITE = b" \t\n\r\x0b\x0c"
 MASK64 = (1 << 64) - 1
 
-__all__ = ["NO_ID", "WHITE", "checkpoint", "documents", "id_out", "Memo", "memo", "give_back", "shared_folder", "partitions", "mix64", "random_odd", "batch"]
+__all__ = ["NO_ID", "WHITE", "checkpoint", "documents", "id_out", "Memo", "memo", "give_back", "bounded_batches", "shared_folder", "partitions", "mix64", "random_odd", "batch"]
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most: what a task holds outside the heap and in
+    Python follows the batch. A session's own setting stays."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "8m")
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text binary): the UTF-8 bytes of every text, without nulls."""
+    bounded_batches(df.sparkSession)
     return df.select(*documents_columns(id_col, text_col))
 
 

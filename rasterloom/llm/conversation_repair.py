@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.session import ensure_checkpoint_dir
 
-from .common import NO_ID, id_out
+from .common import NO_ID, bounded_batches, id_out
 from .token_files import open_folder
 
 #: White space of the contract, ends of sentences, costs.
@@ -204,6 +204,7 @@ def repair(turns: DataFrame, others: DataFrame | None = None, spill: int = 1 <<
         gone = others.select(F.coalesce(c("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id")).distinct()
         zero = F.lit(0).cast("long")
         both = both.union(gone.select("conv_id", F.lit(0), zero, zero, zero, F.lit(0), zero, zero, F.lit(""), F.lit(""), F.lit(GONE)))
+    bounded_batches(turns.sparkSession)
     folder = f"{ensure_checkpoint_dir(turns.sparkSession)}/pointers-{uuid.uuid4().hex}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_out, pack, partitions, unpack, NO_ID
+from .common import NO_ID, bounded_batches, checkpoint, id_out, pack, partitions, unpack
 
 BLOCK, STEP = 2048, 2048  # rows of a block; anchors compared with it at a time
 LEVELS = (4, 16)
@@ -373,6 +373,7 @@ def mine(df: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3,
     dealt into groups of at most about `group` rows, two dozen at least where
     there are as many partitions. Work is anchors times rows, thinned by the
     bounds: each further level is computed for pairs that are left."""
+    bounded_batches(df.sparkSession)
     rows = prepared(df, scale, anchor, id_col, label_col, vector_col)
     n, asked = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("anchor"), 1))).first()
     groups = max(min(partitions(df.sparkSession), 24, -(-n // BLOCK) or 1), -(-n // group))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, give_back, id_out
+from .common import Memo, bounded_batches, documents, give_back, id_out
 
 PREFIXES = (4, 5, 6)
 STRIP = ".,;:!?()[]{}\"'`«»„“”…-*_"
@@ -247,4 +247,5 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
         del s
         give_back()
 
+    bounded_batches(docs.sparkSession)
     return docs.where(clean(F.col(f"`{text_col}`")))
