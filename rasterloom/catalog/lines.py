@@ -12,6 +12,7 @@ from rasterloom.catalog.grids import TILE, components_sql
 from rasterloom.catalog.scenes import _INSIDE
 from rasterloom.functions import geo
 from rasterloom.operators import components as co, focal, hough as ho, vectors as ve
+from rasterloom.operators.polygons import EDGE, polygon_area, with_inside
 from rasterloom.session import checkpoint
 
 W = ", dims AS (SELECT max(col) + 1 AS w FROM classes1)"
@@ -93,11 +94,9 @@ def line_segments(spark, d):
     return rounded(_segments(spark, d), "length_m", "bearing_deg", digits=4)
 
 
-_RUNS = """, cand AS (SELECT t, rho FROM acc WHERE n >= 2.5),
- px AS (SELECT e."row", e.col, q.t, radians(q.t - 90.0::DOUBLE) AS th FROM (SELECT * FROM classes1 WHERE class = 3) e CROSS JOIN (SELECT CAST(unnest(range(180)) AS INT) AS t) q),
+_RUNS = """, px AS (SELECT e."row", e.col, q.t, radians(q.t - 90.0::DOUBLE) AS th FROM (SELECT * FROM classes1 WHERE class = 3) e CROSS JOIN (SELECT CAST(unnest(range(180)) AS INT) AS t) q),
  pr AS (SELECT "row", col, t, round("row" * cos(th) - col * sin(th), 6) AS pos, CAST(unnest(range(CAST(ceil(round(col * cos(th) + "row" * sin(th) - 1, 9)) AS INT), CAST(floor(round(col * cos(th) + "row" * sin(th) + 1, 9)) AS INT) + 1)) AS INT) AS rho FROM px),
- onl AS (SELECT pr.* FROM pr JOIN cand ON pr.t = cand.t AND pr.rho = cand.rho),
- st AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY t, rho ORDER BY pos, "row", col) > 3 THEN 1 ELSE 0 END AS nw FROM onl),
+ st AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY t, rho ORDER BY pos, "row", col) > 3 THEN 1 ELSE 0 END AS nw FROM pr),
  rn AS (SELECT *, sum(nw) OVER (PARTITION BY t, rho ORDER BY pos, "row", col ROWS UNBOUNDED PRECEDING) AS run FROM st),
  sg AS (SELECT t, rho, run, count(*) AS n_px, min({'p': pos, 'r': "row", 'c': col}) AS a, max({'p': pos, 'r': "row", 'c': col}) AS b FROM rn GROUP BY 1, 2, 3),
  lg AS (SELECT *, round(b.p - a.p, 6) AS len FROM sg WHERE round(b.p - a.p, 6) >= 10),
@@ -107,7 +106,7 @@ _ALL = _RUNS + """
 SELECT lg.t, lg.rho, a.r AS row1, a.c AS col1, b.r AS row2, b.c AS col2, n_px FROM lg JOIN ct ON lg.t = ct.t AND lg.rho = ct.rho AND lg.run = ct.run WHERE 2 * own >= n_px"""
 
 
-@query("all_line_segments", ACC + _ALL, needs=("classes1",))
+@query("all_line_segments", _ALL, needs=("classes1",))
 def all_line_segments(spark, d):
     """Runs along every line with enough votes, not only the strongest."""
     return ho.all_segments(_built(spark, d), min_length=10, gap=3).select("t", "rho", "row1", "col1", "row2", "col2", "n_px")
@@ -206,22 +205,68 @@ def line_length_inside(spark, d):
     return rounded(ve.length_inside(segments(spark, d), AOI), "inside_m", digits=4)
 
 
-@query("feature_totals", _CUT + f"""SELECT (SELECT count(DISTINCT fid) FROM segments) AS n_features, {rq('(SELECT sum(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))) FROM segments)', 4)} AS total_length_m,
- {rq('(SELECT sum(len) FROM io WHERE inside)', 4)} AS inside_m, (SELECT string_agg(name, '|' ORDER BY name) FROM (SELECT DISTINCT coalesce(name, '(unnamed)') AS name FROM segments)) AS names""", needs=("segments",))
+#: Triangles of the segments, each with its half as a hole.
+_HOLED = """holed AS (SELECT fid, 0.75::DOUBLE * abs((x2 - x1) * (-61 - fid % 30) - (y2 - y1) * (37 + fid % 50)) / 2 AS area FROM segments WHERE abs((x2 - x1) * (-61 - fid % 30) - (y2 - y1) * (37 + fid % 50)) > 1)
+"""
+
+
+def _holed(spark, d):
+    ring = F.col("coords")
+    def hole(p):
+        return F.struct(((p["x"] + ring[0]["x"]) / 2).alias("x"), ((p["y"] + ring[0]["y"]) / 2).alias("y"))
+    return _triangles(spark, d).select("fid", F.array(ring, F.transform(ring, hole)).alias("rings"))
+
+
+@query("polygon_areas", ", " + _HOLED + f"SELECT fid, {rq('area', 2)} AS area_m2 FROM holed", needs=("segments",))
+def polygon_areas(spark, d):
+    """Areas without holes."""
+    return _holed(spark, d).select("fid", rd(polygon_area(F.col("rings")), 2).alias("area_m2"))
+
+
+@query("feature_totals", _CUT + ", " + _HOLED + f"""SELECT (SELECT count(DISTINCT fid) FROM segments) AS n_features, {rq('(SELECT sum(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))) FROM segments)', 4)} AS total_length_m,
+ {rq('(SELECT sum(len) FROM io WHERE inside)', 4)} AS inside_m, (SELECT string_agg(name, '|' ORDER BY name) FROM (SELECT DISTINCT coalesce(name, '(unnamed)') AS name FROM segments)) AS names,
+ {rq('(SELECT sum(area) FROM holed)', 2)} AS polygon_area_m2""", needs=("segments",))
 def feature_totals(spark, d):
-    out = ve.feature_totals(segments(spark, d), AOI).withColumn("names", F.concat_ws("|", "names"))
+    out = rounded(ve.feature_totals(segments(spark, d), AOI, _holed(spark, d)), "polygon_area_m2", digits=2).withColumn("names", F.concat_ws("|", "names"))
     return rounded(out, "total_length_m", "inside_m", digits=4)
 
 
-@query("clip_features", None)
+_BOX = [[(600000.0, 1200000.0), (601000.0, 1200000.0), (601000.0, 1198600.0), (600000.0, 1198600.0)]]
+
+
+def _clip_sql(p: str, source: str, rings, inside: str) -> str:
+    """Tables {p}e, {p}cr, {p}sp, {p}io: parts of the lines of `source` (k, fid, x1, y1, x2, y2) and their side."""
+    edges = ", ".join(f"({x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)" for r in rings for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1]))
+    return f"""{p}e AS (SELECT * FROM (VALUES {edges}) v(ex1, ey1, ex2, ey2)),
+ {p}cr AS (SELECT k, t FROM (SELECT s.k, ((ex1 - x1) * (ey2 - ey1) - (ey1 - y1) * (ex2 - ex1)) / nullif((x2 - x1) * (ey2 - ey1) - (y2 - y1) * (ex2 - ex1), 0) AS t,
+    ((ex1 - x1) * (y2 - y1) - (ey1 - y1) * (x2 - x1)) / nullif((x2 - x1) * (ey2 - ey1) - (y2 - y1) * (ex2 - ex1), 0) AS u FROM {source} s CROSS JOIN {p}e) WHERE t > 0 AND t < 1 AND u >= 0 AND u <= 1
+  UNION SELECT k, 0.0::DOUBLE FROM {source} UNION SELECT k, 1.0::DOUBLE FROM {source}),
+ {p}sp AS (SELECT k, t AS a, lead(t) OVER (PARTITION BY k ORDER BY t) AS b FROM {p}cr),
+ {p}md AS (SELECT s.k, fid, a, x1, y1, x2, y2, b, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) * (b - a) AS len, x1 + (x2 - x1) * (a + b) / 2 AS x, y1 + (y2 - y1) * (a + b) / 2 AS y FROM {p}sp sp JOIN {source} s ON s.k = sp.k WHERE b IS NOT NULL),
+ {p}io AS (SELECT k || '/' || a AS k, fid, x1 + (x2 - x1) * a AS x1, y1 + (y2 - y1) * a AS y1, x1 + (x2 - x1) * b AS x2, y1 + (y2 - y1) * b AS y2, len, {inside} AS inside FROM {p}md)"""
+
+
+_FEATURES = ", src AS (SELECT CAST(fid AS VARCHAR) AS k, fid, x1, y1, x2, y2 FROM segments), " + _clip_sql(
+    "b", "src", _BOX, "(x > 600000 AND x < 601000 AND y > 1198600 AND y < 1200000)") + ", nr AS (SELECT * FROM bio WHERE inside), " + _clip_sql("f", "nr", AOI, _INSIDE)
+
+
+@query("clip_features", _FEATURES + f"""SELECT kp.fid, {rq('kept_m', 4)} AS kept_m, {rq('removed_m', 4)} AS removed_m FROM (SELECT fid, sum(len) AS kept_m FROM fio WHERE NOT inside GROUP BY 1 HAVING sum(len) >= 5) kp
+ LEFT JOIN (SELECT fid, sum(len) AS removed_m FROM fio WHERE inside GROUP BY 1) rm ON rm.fid = kp.fid""", needs=("segments",))
 def clip_features(spark, d):
-    """Roads near a box, outside the fence; tested on a fixture."""
-    box = [[(600000.0, 1200000.0), (601000.0, 1200000.0), (601000.0, 1198600.0), (600000.0, 1198600.0)]]
-    kept, removed = ve.clip_features(segments(spark, d), box, AOI)
+    """Roads near a box, outside the fence, both polygons as edge tables."""
+    box, fence = (spark.createDataFrame(geo.polygon_edges(r), EDGE) for r in (_BOX, AOI))
+    kept, removed = ve.clip_features(segments(spark, d), box, fence)
     total = kept.groupBy("fid").agg(F.sum("length_m").alias("kept_m"))
     return rounded(total.join(removed, "fid", "left"), "kept_m", "removed_m", digits=4)
 
 
+@query("points_in_polygons", f"""SELECT point_id, {_INSIDE} AS inside FROM points""", needs=("points",))
+def points_in_polygons(spark, d):
+    """Side of every point by tiles, for a polygon that is an edge table."""
+    fence = spark.createDataFrame(geo.polygon_edges(AOI), EDGE)
+    return with_inside(points(spark, d), fence, ["point_id"], size=200.0).select("point_id", "inside")
+
+
 @query("near_box", """SELECT fid FROM segments WHERE sqrt(pow(greatest(600300 - x1, x1 - 600600, 0), 2) + pow(greatest(1199200 - y1, y1 - 1199600, 0), 2)) <= 150""", needs=("segments",))
 def near_box(spark, d):
     box = (600300.0, 1199200.0, 600600.0, 1199600.0)

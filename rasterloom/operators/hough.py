@@ -118,8 +118,9 @@ def all_segments(
     gap: float = cfg.LINE_GAP_PX, width: float = 1.0, resolution: float = 10.0,
 ) -> DataFrame:
     """Straight runs of edge pixels along every line that can hold one: all
-    accumulator cells with the votes a run of `min_length` pixels with gaps of
-    at most `gap` needs, however many and however weak beside the strongest.
+    accumulator cells that have, with the cells within `width` of them, the
+    votes a run of `min_length` pixels with gaps of at most `gap` needs, however
+    many and however weak beside the strongest.
 
     Neighbouring cells find nearly the same run. Each pixel counts for the
     longest run through it (then more pixels, smaller angle, smaller rho), and
@@ -128,7 +129,11 @@ def all_segments(
     so the work is 180 x (2 x width + 1) rows for each edge pixel."""
     layer = list(keys) or ["_layer"]
     edges = edges if keys else edges.withColumn("_layer", F.lit(0))
-    cells = votes(edges, layer).where(F.col("n") >= min_length / (gap + 1)).select(*layer, "t", "rho")
+    # a run takes pixels of neighbouring cells too: their votes count together
+    reach = math.floor(width + 0.5)
+    spread = F.explode(F.sequence(F.col("rho") - reach, F.col("rho") + reach))
+    cells = votes(edges, layer).select(*layer, "t", spread.alias("rho"), "n").groupBy(*layer, "t", "rho").agg(F.sum("n").alias("n"))
+    cells = cells.where(F.col("n") >= min_length / (gap + 1)).select(*layer, "t", "rho")
     x, y, th = F.col("col"), F.col("row"), theta(F.col("t"))
     cast = edges.select(*layer, "row", "col", F.explode(F.sequence(F.lit(0), F.lit(ANGLES - 1))).alias("t"))
     d = x * F.cos(th) + y * F.sin(th)

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from rasterloom import config as cfg
 from rasterloom.functions import geo
 from rasterloom.operators.focal import Extent
+from rasterloom.operators.polygons import EDGE, clip_to_edges, polygon_area
+from rasterloom.session import checkpoint
 
 
 def filter_features(
@@ -88,8 +90,13 @@ def ring_area(coords: Column) -> Column:
 def clip_segments(segs: DataFrame, rings, keep: str = "outside") -> DataFrame:
     """Parts of segments inside or outside a polygon (holes honoured), one
     row per part with its length. Each segment is cut where it crosses an
-    edge; the midpoint of each part decides its side. The polygon is a
-    literal of checked size, so nothing is shuffled."""
+    edge; the midpoint of each part decides its side. `rings` are lists of
+    points or an edge table. A polygon within the bound of literals shuffles
+    nothing; any other meets the segments tile by tile (clip_to_edges)."""
+    if isinstance(rings, DataFrame):
+        return clip_to_edges(segs, rings, keep)
+    if len(listed := geo.polygon_edges(rings)) > geo.MAX_LITERAL_EDGES:
+        return clip_to_edges(segs, segs.sparkSession.createDataFrame(listed, EDGE), keep)
     edges = geo.literal_edges(rings)
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     dx, dy = x2 - x1, y2 - y1
@@ -121,8 +128,8 @@ def clip_segments(segs: DataFrame, rings, keep: str = "outside") -> DataFrame:
 def clip_features(segs: DataFrame, vicinity, fence, ids: Sequence[str] = ("fid",), min_length: float = 5.0) -> tuple[DataFrame, DataFrame]:
     """Segments inside the vicinity and outside the fence, features shorter
     than `min_length` dropped; and the removed length per feature."""
-    near = clip_segments(segs, vicinity, "inside").drop("length_m")
-    outside = clip_segments(near, fence, "outside")
+    near = checkpoint(clip_segments(segs, vicinity, "inside").drop("length_m"))
+    outside = checkpoint(clip_segments(near, fence, "outside"))
     removed = clip_segments(near, fence, "inside").groupBy(*ids).agg(F.sum("length_m").alias("removed_m"))
     long = outside.groupBy(*ids).agg(F.sum("length_m").alias("_total")).where(F.col("_total") >= min_length)
     return outside.join(long.select(*ids), list(ids), "left_semi"), removed
@@ -140,14 +147,18 @@ def near_box(x: Column, y: Column, box: tuple[float, float, float, float], dista
     return geo.hypot(gx, gy) <= distance
 
 
-def feature_totals(segs: DataFrame, rings=None) -> DataFrame:
+def feature_totals(segs: DataFrame, rings=None, polygons: DataFrame | None = None) -> DataFrame:
     """Feature count, total length, length inside a polygon and the sorted
-    distinct names of a feature set. Names come from a bounded dimension."""
+    distinct names of a feature set. Names come from a bounded dimension.
+    `polygons` (with `rings`) adds the sum of their areas without holes."""
     totals = segs.agg(F.countDistinct("fid").alias("n_features"), F.sum(segment_length()).alias("total_length_m"))
     names = segs.select(feature_name().alias("name")).distinct().agg(F.array_sort(F.collect_list("name")).alias("names"))
     out = totals.withColumn("_k", F.lit(1)).join(names.withColumn("_k", F.lit(1)), "_k")
     if rings is not None:
         out = out.join(length_inside(segs, rings).withColumn("_k", F.lit(1)), "_k")
+    if polygons is not None:
+        area = polygons.agg(F.coalesce(F.sum(polygon_area(F.col("rings"))), F.lit(0.0)).alias("polygon_area_m2"))
+        out = out.join(area.withColumn("_k", F.lit(1)), "_k")
     return out.drop("_k")
 
 

@@ -62,7 +62,7 @@ def rings_of(polygons: DataFrame, project_zone: int | None = None) -> list[list[
         x, y = geo.lonlat_to_utm(x, y, project_zone)
     rows = pts.select("fid", "part", "ring", "i", x.alias("x"), y.alias("y")).take(geo.MAX_LITERAL_EDGES + 1)
     if len(rows) > geo.MAX_LITERAL_EDGES:
-        raise ValueError("polygon too large for a literal; use rasterize_polygon")
+        raise ValueError("polygon too large for a literal; use polygons.edge_table, which the clipping operators take")
     rings: dict[tuple, list] = {}
     for r in sorted(rows, key=lambda r: (r.fid, r.part, r.ring, r.i)):
         rings.setdefault((r.fid, r.part, r.ring), []).append((r.x, r.y))

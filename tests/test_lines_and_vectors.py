@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geo
 from rasterloom.operators import hough as ho, polygons as po, vectors as ve
+from rasterloom.operators.polygons import EDGE, edge_table, polygon_area, with_inside
 
 # Published boundary of the airport (lon, lat), outer ring and hole.
 OUTER = [
@@ -162,3 +163,105 @@ def test_line_queries_follow_every_line(spark, tmp_path):
     assert found.n_segments >= 7 and found.n_groups == 2 and found.dominant_n_segments >= 6
     empty = lines.line_summary(spark, f"{tmp_path}/none").collect()
     assert [(r.year, r.n_segments) for r in empty] == [(2022, 0)]
+
+
+def star(n, seed, holes=False):
+    """A ring with n edges about (0, 0), jagged."""
+    rng = np.random.default_rng(seed)
+    a = np.sort(rng.random(n)) * 2 * np.pi
+    r = 500 + 400 * rng.random(n)
+    ring = list(zip((r * np.cos(a)).tolist(), (r * np.sin(a)).tolist()))
+    return [ring, [(-100.0, -100.0), (100.0, -100.0), (100.0, 100.0), (-100.0, 100.0)]] if holes else [ring]
+
+
+def even_odd(x, y, rings):
+    inside = np.zeros(len(x), bool)
+    for x1, y1, x2, y2 in geo.polygon_edges(rings):
+        if y1 != y2:
+            inside ^= ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * (x2 - x1) / (y2 - y1))
+    return inside
+
+
+@pytest.mark.parametrize("n,size", [(4, None), (60, 37.0), (5000, None), (5000, 300.0)])
+def test_points_in_polygons_of_any_size(spark, n, size):
+    rings = star(n, n, holes=True)
+    rng = np.random.default_rng(1)
+    x, y = rng.uniform(-1000, 1000, (2, 1500))
+    x[:40], y[:40] = np.repeat(np.arange(-200.0, 200.0, 50), 5), 100.0  # on a border, on tile lines
+    x[40:80], y[40:80] = 100.0, np.linspace(-150, 150, 40)
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    edges = spark.createDataFrame(geo.polygon_edges(rings), EDGE)
+    found = dict(with_inside(points, edges, ["id"], size).select("id", "inside").collect())
+    want = even_odd(x, y, rings)
+    assert [found[i] for i in range(len(x))] == want.tolist()
+
+
+def test_clipping_with_5000_edges(spark):
+    rings = star(5000, 9, holes=True)
+    rng = np.random.default_rng(2)
+    lines = [(i, *map(float, rng.uniform(-900, 900, 4))) for i in range(12)] + [(12, -950.0, 0.0, 950.0, 0.0), (13, 0.0, 0.0, 0.0, 0.0), (14, 5000.0, 5000.0, 5001.0, 5000.0)]
+    segs = spark.createDataFrame(lines, "fid long, x1 double, y1 double, x2 double, y2 double")
+    both = {side: {r["fid"]: r["m"] for r in ve.clip_segments(segs, rings, side).groupBy("fid").agg(F.sum("length_m").alias("m")).collect()} for side in ("inside", "outside")}
+    for fid, x1, y1, x2, y2 in lines:
+        whole = np.hypot(x2 - x1, y2 - y1)
+        t = (np.arange(200_000) + 0.5) / 200_000
+        share = even_odd(x1 + (x2 - x1) * t, y1 + (y2 - y1) * t, rings).mean()
+        assert abs(both["inside"].get(fid, 0.0) - share * whole) < 0.2
+        assert abs(both["inside"].get(fid, 0.0) + both["outside"].get(fid, 0.0) - whole) < 1e-6
+
+
+def test_both_ways_of_clipping_agree(spark):
+    rings = star(50, 4, holes=True)
+    rng = np.random.default_rng(3)
+    segs = spark.createDataFrame([(i, *map(float, rng.uniform(-900, 900, 4))) for i in range(60)], "fid long, x1 double, y1 double, x2 double, y2 double")
+    edges = spark.createDataFrame(geo.polygon_edges(rings), EDGE)
+    for side in ("inside", "outside"):
+        a, b = (sorted((r["fid"], round(r["x1"], 6), round(r["y2"], 6), round(r["length_m"], 6)) for r in ve.clip_segments(segs, x, side).collect()) for x in (rings, edges))
+        assert a == b and a
+
+
+def test_edge_table_and_areas(spark):
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    hole = [(2.0, 2.0), (4.0, 2.0), (4.0, 4.0), (2.0, 4.0), (2.0, 2.0)]
+    rows = spark.createDataFrame([(1, [[dict(x=x, y=y) for x, y in r] for r in (square, hole)]), (2, [])], "fid long, rings array<array<struct<x:double,y:double>>>")
+    assert {r["fid"]: r["a"] for r in rows.select("fid", polygon_area(F.col("rings")).alias("a")).collect()} == {1: 96.0, 2: 0.0}
+    edges = edge_table(rows, ["fid"]).collect()
+    assert sorted((r["x1"], r["y1"], r["x2"], r["y2"]) for r in edges) == sorted(geo.polygon_edges([square, hole]))
+
+
+def all_runs(pixels, min_length, gap, width=1.0):
+    """Every run along every line, then those that most of their pixels count for."""
+    runs = []
+    for t in range(180):
+        a = np.radians(t - 90.0)
+        d = {p: p[1] * np.cos(a) + p[0] * np.sin(a) for p in pixels}
+        along = {p: round(p[0] * np.cos(a) - p[1] * np.sin(a), 6) for p in pixels}
+        for rho in range(-100, 101):
+            on = sorted((along[p], p) for p in pixels if -1e-9 <= d[p] - rho + width and d[p] - rho - width <= 1e-9)
+            run, number = [], 0
+            for k, x in enumerate(on):
+                if run and x[0] - run[-1][0] > gap:
+                    runs.append((t, rho, number, run))
+                    run, number = [], number + 1
+                run = [*run, x]
+            if run:
+                runs.append((t, rho, number, run))
+    runs = [(round(r[-1][0] - r[0][0], 6), len(r), -t, -rho, -u, r) for t, rho, u, r in runs if round(r[-1][0] - r[0][0], 6) >= min_length]
+    best = {}
+    for r in runs:
+        for _, p in r[5]:
+            best[p] = max(best.get(p, r[:5]), r[:5])
+    return sorted((-r[2], -r[3], *r[5][0][1], *r[5][-1][1]) for r in runs if 2 * sum(best[p] == r[:5] for _, p in r[5]) >= r[1])
+
+
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_no_run_is_lost(spark, seed):
+    if seed is None:  # twelve pixels three columns apart, their rows 9, 10, 11 in turn
+        pixels, least = [(9 + i % 3, 3 * i) for i in range(12)], 24
+    else:
+        rng = np.random.default_rng(seed)
+        pixels, least = sorted({(int(a), int(b)) for a, b in rng.integers(0, 30, (90, 2))}), 8
+    df = spark.createDataFrame(pixels, "row int, col int")
+    found = ho.all_segments(df, min_length=least, gap=3)
+    got = sorted(tuple(r[c] for c in ("t", "rho", "row1", "col1", "row2", "col2")) for r in found.collect())
+    assert got == all_runs(pixels, least, 3) and got
