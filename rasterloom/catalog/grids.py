@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterloom import config as cfg
-from rasterloom.catalog.base import AFFINE, CENTER, classes, classified, grid, query, rd, rounded, rq
+from rasterloom.catalog.base import AFFINE, CENTER, classes, classified, grid, landcover, query, rd, rounded, rq
 from rasterloom.functions import geo
 from rasterloom.operators import edges as ed, focal, resample as rs, texture as tx, zones as zo
 
@@ -147,6 +147,69 @@ def resample_cubic(spark, d):
     return _upsampled(spark, d, "cubic")
 
 
+# --------------------------------------------------------- any two grids
+
+_FINE = 4.0  # target pixels: 2.5 to a source pixel, on an origin of their own
+_SHIFT = (13.7123457, 21.3098761)
+_ORIGIN = (AFFINE[2] + _SHIFT[0], AFFINE[5] - _SHIFT[1])
+_PLACES = f""", tp AS (SELECT CAST(i // w AS INT) AS "row", CAST(i % w AS INT) AS col, ({_ORIGIN[1]!r}::DOUBLE + (i // w + 0.5::DOUBLE) * {-_FINE}::DOUBLE - 1200000.0::DOUBLE) / -10.0::DOUBLE AS py,
+   ({_ORIGIN[0]!r}::DOUBLE + (i % w + 0.5::DOUBLE) * {_FINE}::DOUBLE - 600000.0::DOUBLE) / 10.0::DOUBLE AS px
+ FROM (SELECT w, unnest(range(h * w)) AS i FROM (SELECT (max("row") + 1) * 5 // 2 - 9 AS h, (max(col) + 1) * 5 // 2 - 7 AS w FROM grid)))"""
+
+
+def _warped(spark, d, method):
+    g = grid(spark, d).withColumn("v", F.when(F.col("valid"), F.col("v")))
+    extent = focal.raster_extent(g)
+    affine = (_FINE, 0.0, _ORIGIN[0], 0.0, -_FINE, _ORIGIN[1])
+    return rs.warp(g, ["v"], AFFINE, rs.Grid(affine, extent.rows * 5 // 2 - 9, extent.cols * 5 // 2 - 7), method, tile=64)
+
+
+@query("warp_nearest", _PLACES + """SELECT tp."row", tp.col, CASE WHEN valid THEN v END AS v FROM tp JOIN grid g ON g."row" = floor(py) AND g.col = floor(px)""", needs=("grid",))
+def warp_nearest(spark, d):
+    return _warped(spark, d, "nearest")
+
+
+def _warp_sql(weight: str, radius: int, digits: int) -> str:
+    return _PLACES + f""", kk AS (SELECT unnest(range({1 - radius}, {radius + 1})) AS k),
+ ys AS (SELECT "row", col, py, px, floor(py - 0.5::DOUBLE) + k AS r, {weight.format(t='abs(py - 0.5::DOUBLE - floor(py - 0.5::DOUBLE) - k)')} AS wy FROM tp, kk),
+ xs AS (SELECT ys.*, floor(px - 0.5::DOUBLE) + k AS c, {weight.format(t='abs(px - 0.5::DOUBLE - floor(px - 0.5::DOUBLE) - k)')} AS wx FROM ys, kk)
+SELECT xs."row", xs.col, {rq('sum(s.v * wy * wx) / sum(wy * wx)', digits)} AS v FROM xs JOIN grid o ON o."row" = floor(py) AND o.col = floor(px) LEFT JOIN grid s ON s."row" = r AND s.col = c AND s.valid WHERE s.v IS NOT NULL GROUP BY 1, 2"""
+
+
+@query("warp_bilinear", _warp_sql("(1 - {t})", 1, 2), needs=("grid",))
+def warp_bilinear(spark, d):
+    return rounded(_warped(spark, d, "bilinear"), "v", digits=2)
+
+
+_KEYS = "(CASE WHEN {t} <= 1 THEN 1.5 * pow({t}, 3) - 2.5 * pow({t}, 2) + 1 ELSE -0.5 * pow({t}, 3) + 2.5 * pow({t}, 2) - 4 * {t} + 2 END)"
+
+
+@query("warp_cubic", _warp_sql(_KEYS, 2, 2), needs=("grid",))
+def warp_cubic(spark, d):
+    return rounded(_warped(spark, d, "cubic"), "v", digits=2)
+
+
+_STEP, _LON, _LAT = 0.00009, 105.9135, 10.8545  # degrees
+
+
+def _reproject_sql() -> str:
+    east, north = geo.utm_sql()
+    return f""", tp AS (SELECT CAST(i // 120 AS INT) AS "row", CAST(i % 120 AS INT) AS col, radians({_LON}::DOUBLE + (i % 120 + 0.5::DOUBLE) * {_STEP}::DOUBLE) - {geo._central_meridian(48)!r}::DOUBLE AS lam, radians({_LAT}::DOUBLE - (i // 120 + 0.5::DOUBLE) * {_STEP}::DOUBLE) AS phi
+   FROM (SELECT unnest(range(120 * h)) AS i FROM (SELECT max("row") + 41 AS h FROM landcover))),
+ tt AS (SELECT *, {geo.conformal_sql('phi')} AS t FROM tp),
+ xe AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM tt),
+ xy AS (SELECT "row", col, {east} AS x, {north} AS y FROM xe)
+SELECT xy."row", xy.col, wc FROM xy JOIN landcover l ON l."row" = floor((y - 1200000) / -10) AND l.col = floor((x - 600000) / 10)"""
+
+
+@query("reproject_labels", _reproject_sql(), needs=("landcover",))
+def reproject_labels(spark, d):
+    """Labels on a grid of degrees, read from their metric grid."""
+    labels = landcover(spark, d)
+    target = rs.Grid((_STEP, 0.0, _LON, 0.0, -_STEP, _LAT), focal.raster_extent(labels).rows + 40, 120)
+    return rs.warp(labels, ["wc"], AFFINE, target, to_source=geo.lonlat_to_utm, tile=64)
+
+
 # ------------------------------------------------------------------- focal
 
 @query("majority_3x3", """SELECT "row", col, class FROM (SELECT a."row", a.col, b.class, row_number() OVER (PARTITION BY a."row", a.col ORDER BY count(*) DESC, b.class) AS rn

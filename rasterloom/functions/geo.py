@@ -67,6 +67,21 @@ def lonlat_to_utm(lon: Column, lat: Column, zone: int = cfg.UTM_ZONE) -> tuple[C
     return F.lit(UTM_FALSE_EASTING) + scale * east, scale * north
 
 
+def conformal_sql(phi: str) -> str:
+    """SQL of the tangent of the conformal latitude, as lonlat_to_utm takes it."""
+    n = _series()[0]
+    e = 2 * math.sqrt(n) / (1 + n)
+    return f"sinh(atanh(sin({phi})) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin({phi})))"
+
+
+def utm_sql() -> tuple[str, str]:
+    """SQL of easting and northing from columns xi and eta."""
+    _, radius, alpha, _, _ = _series()
+    east = "eta" + "".join(f" + {a!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1))
+    north = "xi" + "".join(f" + {a!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1))
+    return f"{UTM_FALSE_EASTING!r}::DOUBLE + {UTM_K0 * radius!r}::DOUBLE * ({east})", f"{UTM_K0 * radius!r}::DOUBLE * ({north})"
+
+
 def utm_to_lonlat(x: Column, y: Column, zone: int = cfg.UTM_ZONE) -> tuple[Column, Column]:
     _, radius, _, beta, delta = _series()
     scale = F.lit(UTM_K0 * radius)

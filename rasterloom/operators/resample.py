@@ -1,12 +1,18 @@
-"""Grid resampling: averaging down, nearest, bilinear and cubic up."""
+"""Grid resampling: averaging down, interpolating up by whole factors, and
+warping between any two grids."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rasterloom.functions import geo
 from rasterloom.operators import focal
 
 
@@ -101,3 +107,96 @@ def upsample(
         *keys, (F.col("row") * factor + F.col("_c.i")).alias("row"),
         (F.col("col") * factor + F.col("_c.j")).alias("col"), F.col("_c.v").alias(value),
     )
+
+
+class Grid(NamedTuple):
+    """A raster's place: affine (a, b, c, d, e, f) and its size."""
+
+    affine: tuple[float, ...]
+    rows: int
+    cols: int
+
+
+def pixels_of(spark: SparkSession, grid: Grid) -> DataFrame:
+    """All pixels (row, col) of a grid."""
+    ids = spark.range(grid.rows * grid.cols)
+    return ids.select(F.floor(F.col("id") / grid.cols).cast("int").alias("row"), (F.col("id") % grid.cols).cast("int").alias("col"))
+
+
+def warp(
+    df: DataFrame, values: Sequence[str], affine: Sequence[float], target: Grid, method: str = "nearest", keys: Sequence[str] = (),
+    to_source: Callable[[Column, Column], tuple[Column, Column]] | None = None, tile: int = 256,
+) -> DataFrame:
+    """Values of a north-up raster at the pixel centres of another grid.
+
+    Any ratio, any origin; `to_source` takes the target's map coordinates to
+    the source's if their projections differ. A target pixel is dealt to the
+    source tile that holds its centre, a source pixel to the tiles within the
+    kernel's reach, and a tile is one group: two exchanges, no pixel meets
+    more than its neighbours. Weights are normalised over the cells that have
+    a value. Pixels whose centre lies in no source cell are left out. Kernels
+    are not widened for coarser targets; average down first. With `keys`, a
+    group holds the tile of all layers, one after the other."""
+    radius = 0 if method == "nearest" else KERNELS[method][1]
+    values, keys = list(values), list(keys)
+    a, _, c0, _, e, f0 = (float(v) for v in affine)
+    x, y = geo.pixel_center(F.col("row"), F.col("col"), target.affine)
+    if to_source is not None:
+        x, y = to_source(x, y)
+    places = pixels_of(df.sparkSession, target).withColumns({"_y": (y - F.lit(f0)) / F.lit(e), "_x": (x - F.lit(c0)) / F.lit(a)})
+    places = places.withColumns({"_ty": F.floor(F.col("_y") / tile), "_tx": F.floor(F.col("_x") / tile)})
+
+    def reach(c):
+        return F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + F.lit(k)) / F.lit(tile)) for k in (-radius, radius)])))
+
+    whole = method == "nearest"
+    cells = df.select(*keys, "row", "col", *(F.col(v) if whole else F.col(v).cast("double").alias(v) for v in values))
+    cells = cells.withColumn("_ty", reach("row")).withColumn("_tx", reach("col"))
+    side = tile + 2 * radius
+    kernel = None if whole else np.vectorize(KERNELS[method][0], otypes=[float])
+
+    def at_places(k, source: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(k[0]) * tile - radius, int(k[1]) * tile - radius
+        py, px = wanted["_y"].to_numpy(), wanted["_x"].to_numpy()
+        own = (np.floor(py).astype(np.int64) - top) * side + np.floor(px).astype(np.int64) - left
+        parts = []
+        for key, layer in source.groupby(keys, dropna=False, sort=False) if keys else [((), source)]:
+            place = (layer["row"].to_numpy() - top) * side + layer["col"].to_numpy() - left
+            present = np.zeros(side * side, bool)
+            present[place] = True
+            there = np.flatnonzero(present[own])
+            out = {name: np.repeat(pd.Series([v], dtype=layer[name].dtype).to_numpy(), len(there)) for name, v in zip(keys, key)}
+            out |= {"row": wanted["row"].to_numpy()[there], "col": wanted["col"].to_numpy()[there]}
+            for v in values:
+                if whole:
+                    slot = np.full(side * side, -1)
+                    slot[place] = np.arange(len(place))
+                    out[v] = layer[v].to_numpy()[slot[own[there]]]
+                    continue
+                dense = np.full(side * side, np.nan)
+                dense[place] = layer[v].to_numpy(dtype=float)
+                out[v] = _interpolated(dense, side, py[there] - top, px[there] - left, kernel, radius)
+            parts.append(pd.DataFrame(out))
+        return pd.concat(parts) if parts else pd.DataFrame({n: [] for n in names})
+
+    kinds = {x.name: x.dataType for x in cells.schema}
+    names = [*keys, "row", "col", *values]
+    kinds |= {"row": T.IntegerType(), "col": T.IntegerType()}
+    schema = T.StructType([T.StructField(n, kinds[n]) for n in names])
+    return cells.groupBy("_ty", "_tx").cogroup(places.groupBy("_ty", "_tx")).applyInPandas(at_places, schema)
+
+
+def _interpolated(dense: np.ndarray, side: int, y: np.ndarray, x: np.ndarray, kernel, radius: int) -> np.ndarray:
+    """Separable kernel at fractional places of a dense tile, over the cells that have a value."""
+    total, weight = np.zeros(len(y)), np.zeros(len(y))
+    fy, fx = np.floor(y - 0.5).astype(np.int64), np.floor(x - 0.5).astype(np.int64)
+    for dy in range(1 - radius, radius + 1):
+        wy = kernel(y - 0.5 - fy - dy) if len(y) else y
+        for dx in range(1 - radius, radius + 1):
+            w = wy * (kernel(x - 0.5 - fx - dx) if len(x) else x)
+            v = dense[(fy + dy) * side + fx + dx]
+            some = ~np.isnan(v)
+            total[some] += w[some] * v[some]
+            weight[some] += w[some]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(np.abs(weight) > 1e-9, total / weight, np.nan)

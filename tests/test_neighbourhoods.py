@@ -172,3 +172,45 @@ def test_upsample_of_a_constant(spark):
     for kernel in ("bilinear", "cubic"):
         up = rs.upsample(table(spark, x), "v", 2, kernel, focal.Extent(6, 6), tile=16)
         np.testing.assert_allclose(array(up, "v", (12, 12)), 7.0)
+
+
+def plain_warp(array, affine, target, method):
+    a, _, c, _, e, f = affine
+    fn, radius = rs.KERNELS.get(method, (None, 0))
+    out = {}
+    for r in range(target.rows):
+        for k in range(target.cols):
+            x, y = target.affine[2] + (k + 0.5) * target.affine[0], target.affine[5] + (r + 0.5) * target.affine[4]
+            py, px = (y - f) / e, (x - c) / a
+            i, j = math.floor(py), math.floor(px)
+            if not (0 <= i < array.shape[0] and 0 <= j < array.shape[1]):
+                continue
+            if fn is None:
+                out[r, k] = array[i, j]
+                continue
+            total = weight = 0.0
+            for y0 in range(i - 2, i + 3):
+                for x0 in range(j - 2, j + 3):
+                    w = fn(py - 0.5 - y0) * fn(px - 0.5 - x0)
+                    if w and 0 <= y0 < array.shape[0] and 0 <= x0 < array.shape[1] and not np.isnan(array[y0, x0]):
+                        total, weight = total + w * array[y0, x0], weight + w
+            out[r, k] = total / weight if abs(weight) > 1e-9 else np.nan
+    return out
+
+
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "cubic"])
+@pytest.mark.parametrize("target", [
+    rs.Grid((4.0, 0.0, 103.3, 0.0, -4.0, 989.1), 60, 45), rs.Grid((23.0, 0.0, 60.0, 0.0, -31.0, 1040.0), 12, 14), rs.Grid((10.0, 0.0, 100.0, 0.0, -10.0, 1000.0), 20, 17),
+])
+def test_warp(spark, rng, method, target):
+    source = rng.integers(0, 50, (20, 17)).astype(float)
+    source[rng.random(source.shape) < 0.15] = np.nan
+    affine = (10.0, 0.0, 100.0, 0.0, -10.0, 1000.0)
+    rows = [(y, int(r), int(c), None if np.isnan(source[r, c]) else float(source[r, c] * y)) for y in (1, 2) for r in range(20) for c in range(17)]
+    df = spark.createDataFrame(rows, "year int, row int, col int, v double")
+    found = rs.warp(df, ["v"], affine, target, method, keys=["year"], tile=6).collect()
+    for year in (1, 2):
+        want = plain_warp(source * year, affine, target, method)
+        got = {(r["row"], r["col"]): np.nan if r["v"] is None else r["v"] for r in found if r["year"] == year}
+        assert got.keys() == want.keys()
+        assert np.allclose([got[k] for k in want], list(want.values()), equal_nan=True)
