@@ -214,6 +214,7 @@ class Tokenizer:
     """
 
     def __init__(self, path: str, memo_size: int = 250_000):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -233,19 +234,19 @@ class Tokenizer:
         self.utf8 = {i: t.encode() for i, t in self.surface.items()}
 
     def _word(self, word: str) -> bytes:
-        raw = word.encode()
-        if len(raw) <= self.table.lookahead:  # shorter than the undecided tail: nothing to emit before its end
-            symbols = [self.symbols[b] for b in raw]
-            symbols[-1] += END
-            ids = self.table.vocab
-            return pack_ids([ids[t] for t in self.table.encode(symbols)])
-        machine, out, last, ids = Transducer(self.table), [], len(raw) - 1, self.table.vocab
-        stream = (self.symbols[b] + END if i == last else self.symbols[b] for i, b in enumerate(raw))
-        out.extend(ids[t] for t in machine.push(stream))
-        out.extend(ids[t] for t in machine.finish())
-        return pack_ids(out)
+        symbols = [self.symbols[b] for b in word.encode()]
+        symbols[-1] += END
+        ids = self.table.vocab
+        return pack_ids([ids[t] for t in self._tokens(symbols)])
+
+    def _tokens(self, symbols: list[str]) -> Iterator[str]:
+        machine = Transducer(self.table)
+        yield from machine.push(symbols)
+        yield from machine.finish()
 
     def _plain(self, text: str) -> bytes:
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+            return self._unknown(text)
         text = compose(text)
         # per character, as the file's library does: a final sigma is no special case
         text = text.replace("Σ", "σ").lower()
@@ -257,6 +258,22 @@ class Tokenizer:
                 return get[text[:-1]] + get[text[-1]]
         return b"".join([get[w] for w in self.words.findall(text)])
 
+    def _unknown(self, text: str) -> bytes:
+        """Text with characters that Python's tables don't know: the library,
+        whose tables are newer, says how they are composed, lower-cased and
+        split into words; its words come as byte symbols."""
+        if self.library is None:
+            from tokenizers import Tokenizer as Library
+
+            self.library = Library.from_file(self.path)
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        ids, out = self.table.vocab, []
+        for word, _ in words:
+            symbols = list(word)
+            symbols[-1] += END
+            out += [ids[t] for t in self._tokens(symbols)]
+        return pack_ids(out)
+
     def _chunk(self, chunk: str) -> bytes:
         if self.marks is None or not self.marks.search(chunk):
             return self._plain(chunk)

@@ -12,9 +12,11 @@ import ctypes
 import gc
 import struct
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ NO_ID = -(2**63)
 WHITE = b" \t\n\r\x0b\x0c"
 MASK64 = (1 << 64) - 1
 
-__all__ = ["NO_ID", "WHITE", "checkpoint", "documents", "id_out", "Memo", "memo", "give_back", "bounded_batches", "shared_folder", "partitions", "mix64", "random_odd", "batch"]
+__all__ = ["NO_ID", "WHITE", "checkpoint", "documents", "id_out", "Memo", "memo", "give_back", "bounded_batches", "slices", "split", "byte_runs", "hash_words", "shared_folder", "partitions", "mix64", "random_odd", "batch"]
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -129,10 +131,58 @@ def random_odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
 
 
+def slices(batches, rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, of about `size` bytes of text (column 1) at most."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the word at every place, and where each text starts and ends."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
+    flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    some = pc.not_equal(flat, "")
+    if not pc.all(some).as_py():
+        keep = some.to_numpy(zero_copy_only=False)
+        at = np.r_[0, np.cumsum(keep)][at]
+        flat = flat.filter(some)
+    coded = flat.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), at
+
+
+def byte_runs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the words and the length of each."""
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.frombuffer(words.buffers()[1], np.int32)[words.offset] if len(words) else 0
+    data = words.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[start : start + lengths.sum()] if data else np.empty(0, np.uint8)
+    return flat, lengths
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words that are not empty, all at once."""
+    flat, lengths = byte_runs(words)
+    if not len(lengths):
+        return np.empty(0, np.uint64)
+    begin = np.cumsum(lengths) - lengths
+    place = np.arange(len(flat)) - np.repeat(begin, lengths)
+    return mix64(np.add.reduceat((flat.astype(np.uint64) + np.uint64(1)) * (_PLACES[place & 255] + (place >> 8).astype(np.uint64)), begin))
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+_PLACES = random_odd(256, 12)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays back to back, each after its byte length."""
     return b"".join(x for a in arrays for x in (struct.pack("<q", a.nbytes), a.tobytes()))

@@ -17,18 +17,17 @@ COSINE and the README.
 from __future__ import annotations
 
 import math
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, NO_ID, checkpoint, documents, id_out, memo, partitions
+from .common import NO_ID, checkpoint, documents, hash_words, id_out, partitions, slices
 
 FEATURES = 2048
 RANK = 128
@@ -47,24 +46,31 @@ PUNCTUATION = ".,;:!?()[]{}\"'`«»„“”…-*_#/"
 WORDS = "doc_id long, words binary"
 
 
-def _hash(word: bytes) -> int:
-    w = unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower().strip(PUNCTUATION)
-    return xxhash.xxh32_intdigest(w.encode()) | 1 if w else 0
+def _hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the words of all texts, without case and surrounding
+    punctuation, and where each text starts and ends."""
+    plain = pc.utf8_lower(pc.utf8_normalize(texts.cast(pa.string()), "NFC"))
+    lists = pc.ascii_split_whitespace(plain)
+    at = lists.offsets.to_numpy().astype(np.int64)
+    words = pc.utf8_trim(lists.flatten(), PUNCTUATION)
+    some = pc.not_equal(words, "")
+    kept = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))]
+    return (hash_words(words.filter(some)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), kept[at - at[0]]
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """32-bit hash of each word, without case and surrounding punctuation."""
-    known = memo("plain-word", lambda: Memo(_hash, 200_000))
-    words = text.split()
-    out = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
-    return out[out != 0]
+    """Hashes of the words of one text."""
+    return _hashes_of(pa.array([text], pa.binary()))[0]
 
 
 def hashed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, words): little-endian 32-bit word hashes of every whole text, written once."""
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_hashes(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "words"])
+        for b in slices(batches):
+            flat, at = _hashes_of(b.column(1))
+            ends = pa.py_buffer((at * 4).astype(np.int32).tobytes())
+            rows = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, ends, pa.py_buffer(flat.astype("<u4").tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), rows], ["doc_id", "words"])
 
     return checkpoint(documents(df, id_col, text_col).mapInArrow(run, WORDS))
 
@@ -204,15 +210,24 @@ class Item:
             out.setdefault(x, []).append(i)
         return out
 
+    @cached_property
+    def halves(self) -> set[bytes]:
+        """All sequences of RUN / 2 words of the item."""
+        raw = np.array(self.words, "<u4").tobytes()
+        return {raw[4 * i : 4 * i + 2 * RUN] for i in range(len(self.words) - RUN // 2 + 1)}
+
     def passage(self, near: list[int]) -> bool:
         """RUN words in a row of the item, or nearly all of one piece of a long one."""
-        if len(self.words) < RUN or sum(x in self.distinct for x in near) < RUN:
+        if len(self.words) < RUN:
             return False
-        runs: dict = {}
-        for x in near:
-            runs = {i: runs.get(i - 1, 0) + 1 for i in self.places.get(x, ())}
-            if runs and max(runs.values()) >= RUN:
-                return True
+        # RUN words in a row hold RUN / 2 that start at a multiple of RUN / 2
+        raw = np.array(near, "<u4").tobytes()
+        if any(raw[at : at + 2 * RUN] in self.halves for at in range(0, len(raw), 2 * RUN)):
+            runs: dict = {}
+            for x in near:
+                runs = {i: runs.get(i - 1, 0) + 1 for i in self.places.get(x, ())}
+                if runs and max(runs.values()) >= RUN:
+                    return True
         if len(self.words) <= LONGEST:
             return False
         pieces = (p.tolist() for p in _pieces(np.array(self.words, np.uint32)))

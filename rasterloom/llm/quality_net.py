@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, id_out, mix64, random_odd
+from .common import byte_runs, checkpoint, documents, hash_words, id_out, mix64, random_odd, slices, split
 
 FORM, USE = 64, 32  # widths of the two parts of a word's vector
 GRAMS = (1, 2, 3)
@@ -45,7 +45,6 @@ POOLED = 2 * (FORM + USE) + 3
 THRESHOLD = 0.7
 CLIP = 5.0  # deviations that a scaled input is held to
 _POWERS = random_odd(len(GRAMS), 11)
-_PLACES = random_odd(256, 12)
 
 
 def fold(id_col) -> F.Column:
@@ -53,41 +52,6 @@ def fold(id_col) -> F.Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
-def slices(batches, rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """A few rows at a time, of about `size` bytes of text (column 1) at most."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < b.num_rows:
-            before = ends[at - 1] if at else 0
-            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
-            yield b.slice(at, to - at)
-            at = to
-
-
-def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words, the word at every place, and where each text starts and ends."""
-    lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
-    flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-    at = at - at[0]
-    some = pc.not_equal(flat, "")
-    if not pc.all(some).as_py():
-        keep = some.to_numpy(zero_copy_only=False)
-        at = np.r_[0, np.cumsum(keep)][at]
-        flat = flat.filter(some)
-    coded = flat.dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), at
-
-
-def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the words and the length of each."""
-    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    start = np.frombuffer(words.buffers()[1], np.int32)[words.offset] if len(words) else 0
-    data = words.buffers()[2]
-    flat = np.frombuffer(data, np.uint8)[start : start + lengths.sum()] if data else np.empty(0, np.uint8)
-    return flat, lengths
-
-
 def _entries(codes: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(place, sign) of the non-zero entries of the random vectors of 64-bit codes."""
     for k in range(SIGNS):
@@ -97,7 +61,7 @@ def _entries(codes: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.nda
 
 def forms(words: pa.Array) -> np.ndarray:
     """Vectors of length one for the forms of words."""
-    flat, lengths = _bytes(words)
+    flat, lengths = byte_runs(words)
     n = len(lengths)
     padded = np.ones(len(flat) + 2 * n, np.uint64)  # 1 marks both ends
     word = np.repeat(np.arange(n), lengths)
@@ -118,11 +82,7 @@ def forms(words: pa.Array) -> np.ndarray:
 
 def buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row of the table and code of the random vector of each word, cases and signs at its end apart."""
-    flat, lengths = _bytes(words)
-    begin = np.cumsum(lengths) - lengths
-    place = np.arange(len(flat)) - np.repeat(begin, lengths)
-    value = (flat.astype(np.uint64) + np.uint64(1)) * (_PLACES[place & 255] + (place >> 8).astype(np.uint64))
-    code = mix64(np.add.reduceat(value, begin)) if len(lengths) else np.empty(0, np.uint64)
+    code = hash_words(words)
     return (code % np.uint64(BUCKETS)).astype(np.int64), mix64(code.copy())
 
 

@@ -21,12 +21,13 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, id_out, memo
+from .common import checkpoint, documents, id_out, memo, slices
 
 MANIFEST = "path string, first_id long, last_id long, n_docs long, n_tokens long, n_sequences long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -79,13 +80,19 @@ class LibraryEncoder:
             part = whole[at : at + 20_000]
             known.update(zip(part, [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)], strict=True))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (an array of strings), and where each text's start and end."""
         known = self.known
         if len(known) > self.size:
             known.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        at = lists.offsets.to_numpy().astype(np.int64)
+        found = list(map(known.get, distinct))
+        new = [k for k, x in enumerate(found) if x is None]
         whole, words, signed, cased = [], set(), [], []
-        for c in set(chain.from_iterable(split)).difference(known):
+        for c in map(distinct.__getitem__, new):
             body, sign = (c[:-1], c[-1]) if c[-1:] in (",", ".") else (c, "")
             if body.isascii() and body.isalpha():
                 word = body.lower()
@@ -104,11 +111,18 @@ class LibraryEncoder:
             known[c] = known[word]
         for c, word, sign in signed:
             known[c] = known[word] + known[sign]
-        out = [np.frombuffer(b"".join([known[c] for c in x]), self.kind) for x in split]
+        for k in new:
+            found[k] = known[distinct[k]]
+        table = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
         for c in whole:
             if len(c) > self.LONG:
                 known.pop(c, None)
-        return out
+        # ids of every place: those of its word, one run after the other
+        n = sizes[codes]
+        ends = np.r_[0, np.cumsum(n)]
+        place = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], n)
+        return table[place], ends[at - at[0]]
 
 
 class ShardWriter:
@@ -221,15 +235,14 @@ def write_tokens(df: DataFrame, folder: str, path: str, end_id: int | None = 1,
     gives an empty manifest."""
     def run(batches):
         writer = None
-        for b in batches:
+        for b in slices(batches, 1024):
             enc = memo(("library", path), lambda: LibraryEncoder(path))
             if b.num_rows and writer is None:
                 writer = ShardWriter(folder, enc.kind, length, rows, end_id or 0)
             end = np.array([] if end_id is None else [end_id], enc.kind)
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                for i, x in zip(part.column(0).to_pylist(), enc.encode(part.column(1).cast(pa.string()).to_pylist()), strict=True):
-                    writer.add(i, np.concatenate([x, end]))
+            flat, at = enc.encode(b.column(1).cast(pa.string()))
+            for i, lo, hi in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                writer.add(i, np.concatenate([flat[lo:hi], end]))
         if writer:
             writer.close()
             w = writer

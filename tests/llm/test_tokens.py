@@ -1,8 +1,10 @@
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from text_data import pairs
@@ -40,6 +42,18 @@ def test_own_encoding_and_decoding_equal_the_library(library, own):
         assert d.feed(got[:3]) + d.feed(got[3:]) + d.finish() == library.decode(want, skip_special_tokens=False)
 
 
+def test_letters_that_python_does_not_know(library, own):
+    """Every fifth code point, among them those that are unassigned for Python and letters for the library."""
+    enc, unknown = token_files.LibraryEncoder(PATH), 0
+    points = [0x1C89, 0xA7CB, 0xA7DA, 0x208F, 0x0558, 0x323C0, *(c for c in range(0, 0x33480, 5) if not 0xD800 <= c < 0xE000)]
+    words = [f"a{chr(c)}b. {chr(c)}" for c in points]
+    flat, at = enc.encode(pa.array(words))
+    for c, text, e, lo, hi in zip(points, words, library.encode_batch(words, add_special_tokens=False), at[:-1], at[1:], strict=True):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == e.ids == flat[lo:hi].tolist(), hex(c)
+        unknown += unicodedata.category(chr(c)) == "Cn"
+    assert unknown > 1000
+
+
 def test_transducer_emits_early_and_keeps_little(own):
     r = random.Random(1)
     for letters in ("thearino", "ab", "ing"):
@@ -78,8 +92,9 @@ def test_library_encoder(library):
     enc = token_files.LibraryEncoder(PATH, size=50)
     t = texts()
     for at in range(0, len(t), 20):
-        for text, ids in zip(t[at : at + 20], enc.encode(t[at : at + 20]), strict=True):
-            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        flat, ends = enc.encode(pa.array(t[at : at + 20]))
+        for text, lo, hi in zip(t[at : at + 20], ends[:-1], ends[1:], strict=True):
+            assert flat[lo:hi].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_token_files_round_trip(spark, library, odd, folder):
