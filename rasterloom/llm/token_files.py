@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, id_out, memo, slices
+from .common import checkpoint, documents, give_back, id_out, memo, slices
 
 MANIFEST = "path string, first_id long, last_id long, n_docs long, n_tokens long, n_sequences long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -246,6 +246,7 @@ def write_tokens(df: DataFrame, folder: str, path: str, end_id: int | None = 1,
         if writer:
             writer.close()
             w = writer
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (f"{folder}/{w.name}", w.first, w.last, w.n_docs, w.n_tokens, w.n_sequences)], ["path", "first_id", "last_id", "n_docs", "n_tokens", "n_sequences"])
 
     d = documents(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
