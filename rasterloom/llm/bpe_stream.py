@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, documents, id_out, memo
+from .common import Memo, documents, id_out, memo, slices
 
 END = "</w>"
 
@@ -213,7 +213,7 @@ class Tokenizer:
     files looks across white space. Chunks are remembered in a bounded memo.
     """
 
-    def __init__(self, path: str, memo_size: int = 250_000):
+    def __init__(self, path: str, words: int = 60_000, chunks: int = 200_000):
         self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -229,8 +229,8 @@ class Tokenizer:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.symbols = byte_symbols()
-        self.word_ids = Memo(self._word, memo_size)
-        self.chunk_ids = Memo(self._chunk, memo_size)
+        self.word_ids = Memo(self._word, words)
+        self.chunk_ids = Memo(self._chunk, chunks)
         self.utf8 = {i: t.encode() for i, t in self.surface.items()}
 
     def _word(self, word: str) -> bytes:
@@ -352,7 +352,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         t = tokenizer(path)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column(1).cast(pa.string()).to_pylist():
                 ids = t.encode(text)
