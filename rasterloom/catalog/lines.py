@@ -136,35 +136,61 @@ def hit_rate(spark, d):
 
 
 _SEG = ["t", "rho", "row1", "col1", "row2", "col2"]
-
-
-@query("hit_rate_all_lines", ACC + _RUNS + """, sid AS (SELECT *, greatest(CAST(floor(length_m / 10) AS INT), 2) AS np FROM (SELECT lg.t, lg.rho, a.r AS row1, a.c AS col1, b.r AS row2, b.c AS col2, sqrt(pow(b.c - a.c, 2) + pow(b.r - a.r, 2)) * 10 AS length_m
+_RATED = _RUNS + """, sid AS (SELECT *, greatest(CAST(floor(length_m / 10) AS INT), 2) AS np FROM (SELECT lg.t, lg.rho, a.r AS row1, a.c AS col1, b.r AS row2, b.c AS col2, sqrt(pow(b.c - a.c, 2) + pow(b.r - a.r, 2)) * 10 AS length_m
    FROM lg JOIN ct ON lg.t = ct.t AND lg.rho = ct.rho AND lg.run = ct.run WHERE 2 * own >= n_px)),
  pt AS (SELECT *, CAST(trunc(row1 + (row2 - row1) * (i / (np - 1)::DOUBLE)) AS INT) AS r, CAST(trunc(col1 + (col2 - col1) * (i / (np - 1)::DOUBLE)) AS INT) AS c FROM (SELECT *, unnest(range(np)) AS i FROM sid)),
  hit AS (SELECT t, rho, row1, col1, row2, col2, count(DISTINCT i) AS hits FROM (SELECT pt.*, r + dy AS rr, c + dx AS cc FROM pt CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx)) p
-   JOIN classes1 k ON k."row" = p.rr AND k.col = p.cc WHERE k.class = 3 GROUP BY 1, 2, 3, 4, 5, 6)
-SELECT s.t, s.rho, s.row1, s.col1, s.row2, s.col2, round(100.0::DOUBLE * coalesce(h.hits, 0) / s.np, 1) AS builtup_pct FROM sid s LEFT JOIN hit h
- ON s.t = h.t AND s.rho = h.rho AND s.row1 = h.row1 AND s.col1 = h.col1 AND s.row2 = h.row2 AND s.col2 = h.col2""", needs=("classes1",))
+   JOIN classes1 k ON k."row" = p.rr AND k.col = p.cc WHERE k.class = 3 GROUP BY 1, 2, 3, 4, 5, 6),
+ rated AS (SELECT s.t, s.rho, s.row1, s.col1, s.row2, s.col2, length_m, (degrees(atan2(CAST(s.col2 - s.col1 AS DOUBLE), -CAST(s.row2 - s.row1 AS DOUBLE))) + 360) % 180 AS bearing_deg, round(100.0::DOUBLE * coalesce(h.hits, 0) / s.np, 1) AS builtup_pct FROM sid s LEFT JOIN hit h
+ ON s.t = h.t AND s.rho = h.rho AND s.row1 = h.row1 AND s.col1 = h.col1 AND s.row2 = h.row2 AND s.col2 = h.col2)"""
+
+
+@query("hit_rate_all_lines", ACC + _RATED + "SELECT t, rho, row1, col1, row2, col2, builtup_pct FROM rated", needs=("classes1",))
 def hit_rate_all_lines(spark, d):
     """As hit_rate, for the runs along every line."""
     return ho.hit_rate(_all_segments(spark, d), classes(spark, d, 1), keys=[]).select(*_SEG, "builtup_pct")
 
 
-@query("segment_groups")
+#: The greedy rule, one cell of bearing and length for each step.
+_GROUPS = f""", placed AS (SELECT *, CAST(floor(round(bearing_deg / {ho.BEARING_BIN}::DOUBLE, 6)) AS INT) AS bin, CAST(floor(round(log2(length_m) * {ho.LENGTH_CLASSES}, 6)) AS INT) AS cls FROM rated),
+ cell AS (SELECT *, wb / w AS b, row_number() OVER (ORDER BY longest DESC, bin) AS k FROM (SELECT bin, cls, round(max(length_m), 6) AS longest, sum(length_m) AS w, sum(bearing_deg * length_m) AS wb FROM placed GROUP BY 1, 2)),
+ walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(b DOUBLE, w DOUBLE, wb DOUBLE)[]) AS g, CAST(0 AS BIGINT) AS pos
+  UNION ALL SELECT k, CASE WHEN hit = 0 THEN list_append(g, {{'b': b, 'w': w, 'wb': wb}}) ELSE g[:hit - 1] || [{{'b': (g[hit].wb + wb) / (g[hit].w + w), 'w': g[hit].w + w, 'wb': g[hit].wb + wb}}] || g[hit + 1:] END,
+   CASE WHEN hit = 0 THEN len(g) + 1 ELSE hit END FROM (SELECT c.k, c.b, c.w, c.wb, v.g,
+    CAST(coalesce(list_position(list_transform(v.g, lambda x: round(least(abs(c.b - x.b), 180 - abs(c.b - x.b)), 9) <= {cfg.ANGLE_TOLERANCE_DEG}), true), 0) AS BIGINT) AS hit FROM walk v JOIN cell c ON c.k = v.k + 1)),
+ grp AS (SELECT pos, q.b AS b, q.w AS w, CAST(row_number() OVER (ORDER BY round(q.w, 6) DESC, pos) AS INT) AS num FROM (SELECT unnest(g) AS q, CAST(unnest(range(len(g))) + 1 AS BIGINT) AS pos FROM (SELECT g FROM walk ORDER BY k DESC LIMIT 1))),
+ named AS (SELECT p.*, grp.num, grp.b AS group_b, grp.w AS group_w FROM placed p JOIN cell c ON c.bin = p.bin AND c.cls = p.cls JOIN walk ON walk.k = c.k JOIN grp ON grp.pos = walk.pos)"""
+
+
+@query("segment_groups", ACC + _RATED + _GROUPS + f"""SELECT CAST(2022 AS INT) AS "year", num AS "group", t, rho, row1, col1, row2, col2, {rq('bearing_deg', 2)} AS bearing_deg, {rq('length_m', 2)} AS length_m,
+ builtup_pct, {rq('group_w', 2)} AS group_total_len_m FROM named""", needs=("classes1",), recursive=True)
 def segment_groups(spark, d):
-    """Greedy grouping depends on order; tested against brute force."""
     g = _grouped(spark, d)
     return rounded(g.select("year", "group", *_SEG, "bearing_deg", "length_m", "builtup_pct", "group_total_len_m"),
                    "bearing_deg", "length_m", "group_total_len_m", digits=2)
 
 
-@query("line_summary")
+_GAP = "abs(dominant_bearing_deg - axis_bearing_deg)"
+
+
+@query("line_summary", LAB + _AX + _peaks_sql() + _RATED + _GROUPS + f""", axis AS (SELECT (450.0::DOUBLE - degrees(atan2(2 * b, a - c) / 2)) % 180 AS axis_bearing_deg FROM e ORDER BY px DESC, component LIMIT 1),
+ su AS (SELECT count(*) AS n_segments, coalesce(max(num), 0) AS n_groups, {rq('max(CASE WHEN num = 1 THEN group_b END)', 2)} AS dominant_bearing_deg,
+  {rq('coalesce(max(CASE WHEN num = 1 THEN group_w END), 0)', 1)} AS dominant_total_len_m, {rq('coalesce(max(CASE WHEN num = 1 THEN length_m END), 0)', 1)} AS dominant_max_len_m, count_if(num = 1) AS dominant_n_segments,
+  {rq('coalesce(sum(CASE WHEN num = 1 THEN builtup_pct * length_m END) / greatest(max(CASE WHEN num = 1 THEN group_w END), 0.000000001::DOUBLE), 0)', 1)} AS dominant_builtup_pct,
+  {rq('coalesce(max(length_m), 0)', 1)} AS longest_single_segment_m FROM named)
+SELECT CAST(2022 AS INT) AS "year", CAST(n_segments AS BIGINT) AS n_segments, n_groups, dominant_bearing_deg, dominant_total_len_m, dominant_max_len_m, CAST(dominant_n_segments AS BIGINT) AS dominant_n_segments, dominant_builtup_pct, longest_single_segment_m,
+ (SELECT count(*) FROM classes1 WHERE class = 3) AS edge_px, coalesce((SELECT string_agg(CAST(CAST(t % 180 AS INT) AS VARCHAR), ',' ORDER BY peak) FROM peaks), '') AS peak_bearings,
+ {rq('axis_bearing_deg')} AS axis_bearing_deg, {rq(f'least({_GAP}, 180 - {_GAP})', 2)} AS bearing_gap_deg FROM su LEFT JOIN axis ON true""", needs=("classes1",), recursive=True)
 def line_summary(spark, d):
     """Lines of a year against the largest built-up component."""
-    layers = classes(spark, d, 1).select(F.lit(2022).alias("year"))
-    summary = ho.line_summary(_grouped(spark, d), layers=layers)
-    axis = co.largest_component(_labelled(spark, d)).withColumn("year", F.lit(2022))
-    return ho.bearing_gap(summary, axis)
+    year = F.lit(2022)
+    built = _built(spark, d).withColumn("year", year)
+    peaks = ho.peaks(checkpoint(ho.votes(built, ["year"])), ["year"])
+    summary = ho.line_summary(_grouped(spark, d), layers=classes(spark, d, 1).select(year.alias("year")), edges=built, peaks=peaks)
+    axis = co.largest_component(_labelled(spark, d)).withColumn("year", year)
+    whole = F.array_join(F.transform("peak_bearings_deg", lambda b: b.cast("int").cast("string")), ",")
+    gap = ho.bearing_gap(summary, axis).withColumn("peak_bearings", whole).drop("peak_bearings_deg")
+    return rounded(gap, "axis_bearing_deg", "dominant_builtup_pct")
 
 
 # ---------------------------------------------------------------- vectors

@@ -16,6 +16,8 @@ from rasterloom.session import broadcast_if_small, checkpoint
 ANGLES = 180
 PEAK_MIN_DISTANCE = 9
 PEAK_MIN_ANGLE = 10
+BEARING_BIN = 0.05
+LENGTH_CLASSES = 8  # for each doubling
 
 
 def theta(index: Column) -> Column:
@@ -167,52 +169,65 @@ def with_bearing_and_length(segs: DataFrame, resolution: float = 10.0) -> DataFr
     })
 
 
+def _cell(bearing: Column, length: Column) -> list[Column]:
+    """Bin of the bearing and class of the length of a segment."""
+    by_length = F.floor(F.round(F.log2(length) * LENGTH_CLASSES, 6)).cast("int")
+    return [F.floor(F.round(bearing / BEARING_BIN, 6)).cast("int").alias("_bin"), F.coalesce(by_length, F.lit(-1)).alias("_class")]
+
+
 def group_segments(segs: DataFrame, keys: Sequence[str] = ("year",), tolerance: float = cfg.ANGLE_TOLERANCE_DEG, mode: str = "linear") -> DataFrame:
     """Assign segments to bearing groups, longest first; a segment joins the
     first group within the tolerance and shifts that group's length-weighted
-    bearing. Order matters, so one task handles one layer; to bound what it
-    sees, segments of one bearing and length are counted first and the
-    grouping runs over those distinct rows. mode 'circular' averages bearings
-    on the half circle, 'linear' averages plain degrees."""
+    bearing. mode 'circular' averages bearings on the half circle, 'linear'
+    averages plain degrees.
+
+    The order matters, so one task decides for one layer, but it never sees
+    segments: those of one cell, a twentieth of a degree and an eighth of a
+    doubling of length, are summed before the shuffle (length, weighted
+    bearing and vectors) and go to one group together. A layer has at most
+    3600 cells for each class of length, however large the raster. With at
+    most one segment in each cell this is the segment-by-segment rule."""
     keys = list(keys)
-    distinct = segs.groupBy(*keys, "bearing_deg", "length_m").agg(F.count(F.lit(1)).alias("_n"))
+    length, bearing = F.col("length_m"), F.col("bearing_deg")
+    twice = F.radians(2 * bearing)
+    placed = segs.select("*", *_cell(bearing, length))
+    cells = placed.groupBy(*keys, "_bin", "_class").agg(
+        F.round(F.max(length), 6).alias("longest"), F.sum(length).alias("w"), F.sum(bearing * length).alias("wb"),
+        F.sum(F.cos(twice) * length).alias("wx"), F.sum(F.sin(twice) * length).alias("wy"), F.min(bearing).alias("least"),
+    )
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length_m", "bearing_deg"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["longest", "_bin"], ascending=[False, True], kind="stable")
         groups: list[list[float]] = []  # bearing, length sum, weighted sums
         out = []
-        for b, length, n in zip(pdf["bearing_deg"], pdf["length_m"], pdf["_n"]):
+        for w, wb, wx, wy, least in pdf[["w", "wb", "wx", "wy", "least"]].itertuples(index=False):
+            b = wb / w if w > 0 else least
             hit = None
             for g, (gb, *_rest) in enumerate(groups):
                 d = abs(b - gb)
-                if min(d, 180 - d) <= tolerance:
+                if round(min(d, 180 - d), 9) <= tolerance:
                     hit = g
                     break
             if hit is None:
                 groups.append([b, 0.0, 0.0, 0.0, 0.0])
                 hit = len(groups) - 1
-            g, w = groups[hit], length * n
-            g[1] += w
-            g[2] += b * w
-            g[3] += math.cos(math.radians(2 * b)) * w
-            g[4] += math.sin(math.radians(2 * b)) * w
-            if mode == "circular":
-                g[0] = math.degrees(math.atan2(g[4], g[3])) / 2 % 180
-            else:
-                g[0] = g[2] / g[1]
+            g = groups[hit]
+            g[1:] = [g[1] + w, g[2] + wb, g[3] + wx, g[4] + wy]
+            if g[1] > 0:
+                g[0] = math.degrees(math.atan2(g[4], g[3])) / 2 % 180 if mode == "circular" else g[2] / g[1]
             out.append(hit)
-        order = sorted(range(len(groups)), key=lambda i: -groups[i][1])
+        order = sorted(range(len(groups)), key=lambda i: -round(groups[i][1], 6))
         number = {g: i + 1 for i, g in enumerate(order)}
-        return pdf.assign(
+        return pdf[[*keys, "_bin", "_class"]].assign(
             group=[number[g] for g in out], group_bearing_deg=[groups[g][0] for g in out],
             group_total_len_m=[groups[g][1] for g in out],
-        ).drop(columns="_n")
+        )
 
-    schema = distinct.drop("_n").withColumns({
+    schema = cells.select(*keys, "_bin", "_class").withColumns({
         "group": F.lit(0), "group_bearing_deg": F.lit(0.0), "group_total_len_m": F.lit(0.0),
     }).schema
-    grouped = distinct.groupBy(*keys).applyInPandas(assign, schema)
-    return segs.join(grouped, [*keys, "bearing_deg", "length_m"])
+    grouped = cells.groupBy(*keys).applyInPandas(assign, schema)
+    return placed.join(grouped, [*keys, "_bin", "_class"]).drop("_bin", "_class")
 
 
 def hit_rate(segs: DataFrame, classified: DataFrame, keys: Sequence[str] = ("year",), cls: int = cfg.BUILT_UP, step: float = 10.0) -> DataFrame:
@@ -239,11 +254,15 @@ def hit_rate(segs: DataFrame, classified: DataFrame, keys: Sequence[str] = ("yea
     return rated.withColumn("builtup_pct", F.round(100.0 * F.coalesce("_hits", F.lit(0)) / n, 1)).drop("_hits")
 
 
-def line_summary(grouped: DataFrame, keys: Sequence[str] = ("year",), layers: DataFrame | None = None) -> DataFrame:
+def line_summary(
+    grouped: DataFrame, keys: Sequence[str] = ("year",), layers: DataFrame | None = None,
+    edges: DataFrame | None = None, peaks: DataFrame | None = None,
+) -> DataFrame:
     """Per layer: segment and group counts, the dominant group's bearing,
     total and longest length, its hit rate and the longest segment. `layers`
     lists all layers, so that one without any segment has a row too: counts
-    and lengths 0, no bearing."""
+    and lengths 0, no bearing. `edges` adds the number of edge pixels, `peaks`
+    the bearings of the accumulator's peaks, strongest first."""
     keys = list(keys)
     top = F.col("group") == 1
     length = F.col("length_m")
@@ -256,10 +275,17 @@ def line_summary(grouped: DataFrame, keys: Sequence[str] = ("year",), layers: Da
         F.count_if(top).alias("dominant_n_segments"),
         F.round(rate, 1).alias("dominant_builtup_pct"), F.round(F.max(length), 1).alias("longest_single_segment_m"),
     )
-    if layers is None:
-        return out
-    zero = [c for c in out.columns if c not in (*keys, "dominant_bearing_deg")]
-    return layers.select(*keys).distinct().join(out, keys, "left").na.fill(0, zero)
+    if layers is not None:
+        zero = [c for c in out.columns if c not in (*keys, "dominant_bearing_deg")]
+        out = layers.select(*keys).distinct().join(out, keys, "left").na.fill(0, zero)
+    if edges is not None:
+        counted = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("edge_px"))
+        out = out.join(counted, keys, "left").na.fill(0, ["edge_px"])
+    if peaks is not None:
+        listed = F.array_sort(F.collect_list(F.struct("peak", F.round("bearing_deg", 2).alias("b"))))
+        found = peaks.groupBy(*keys).agg(F.transform(listed, lambda p: p["b"]).alias("peak_bearings_deg"))
+        out = out.join(found, keys, "left").withColumn("peak_bearings_deg", F.coalesce("peak_bearings_deg", F.array().cast("array<double>")))
+    return out
 
 
 def bearing_gap(summary: DataFrame, axes: DataFrame, keys: Sequence[str] = ("year",)) -> DataFrame:

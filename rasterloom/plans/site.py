@@ -83,4 +83,4 @@ def line_analysis(edges: DataFrame, classified: DataFrame, fence, affine, extent
     grouped = checkpoint(ho.group_segments(ho.hit_rate(segs, classified)))
     built = classified.where((F.col("class") == cfg.BUILT_UP) & inside)
     axis = co.largest_component(co.connected_components(built, extent, ["year"]), ["year"])
-    return ho.bearing_gap(ho.line_summary(grouped, layers=classified.select("year")), axis), grouped, axis, lines
+    return ho.bearing_gap(ho.line_summary(grouped, layers=classified.select("year"), edges=e, peaks=lines), axis), grouped, axis, lines

@@ -94,6 +94,56 @@ def test_grouping_and_hit_rate(spark):
     assert rate[1] == pytest.approx(100 * sum(int(x) <= 15 for x in np.linspace(0, 30, 30)) / 30, abs=0.05)
 
 
+def greedy(rows, tolerance):
+    """Segment by segment, longest first."""
+    groups, where = [], {}
+    for seg, b, length in sorted(rows, key=lambda r: (-r[2], r[1])):
+        for g in groups:
+            d = abs(b - g["b"])
+            if min(d, 180 - d) <= tolerance:
+                break
+        else:
+            g = {"b": b, "of": []}
+            groups.append(g)
+        g["of"].append((b, length))
+        g["b"] = sum(x * w for x, w in g["of"]) / sum(w for _, w in g["of"])
+        where[seg] = g
+    ranked = sorted(groups, key=lambda g: -sum(w for _, w in g["of"]))
+    return {seg: (ranked.index(g) + 1, g["b"], sum(w for _, w in g["of"])) for seg, g in where.items()}
+
+
+def test_grouping_equals_the_greedy_rule(spark):
+    """One segment in each cell of bearing and length, two layers."""
+    rng = np.random.default_rng(4)
+    bins = rng.permutation(3600)[:600]
+    rows = [(i, i % 2, (b + 0.1 + 0.8 * rng.random()) * ho.BEARING_BIN, float(rng.integers(10, 900))) for i, b in enumerate(bins.tolist())]
+    df = spark.createDataFrame(rows, "seg int, year int, bearing_deg double, length_m double")
+    got = {r.seg: (r.group, r.group_bearing_deg, r.group_total_len_m) for r in ho.group_segments(df).collect()}
+    want = greedy([(i, b, w) for i, y, b, w in rows if y == 0], 7.0) | greedy([(i, b, w) for i, y, b, w in rows if y == 1], 7.0)
+    assert got.keys() == want.keys()
+    for i in got:
+        assert got[i] == pytest.approx(want[i])
+
+
+def test_grouping_sees_cells_not_segments(spark):
+    """Many segments of few cells: sums are exact, and the step's input does not grow with them."""
+    df = spark.range(40_000).selectExpr("2022 AS year", "id % 3 * 40 + 1 + (id % 7) / 1000.0D AS bearing_deg", "100.0D + id % 5 AS length_m")
+    rows = ho.group_segments(df).groupBy("group").agg(F.count("*").alias("n"), F.sum("length_m").alias("w"), F.max("group_total_len_m").alias("total")).collect()
+    assert len(rows) == 3 and sum(r.n for r in rows) == 40_000
+    assert all(r.w == pytest.approx(r.total) for r in rows)
+    assert df.select(*ho._cell(F.col("bearing_deg"), F.col("length_m"))).distinct().count() <= 6
+    assert ho.group_segments(df.limit(0)).count() == 0
+
+
+def test_summary_counts_edge_pixels_and_peaks(spark):
+    segs = spark.createDataFrame([(1, 1, 45.0, 100.0, 50.0, 45.0, 100.0)], "year int, group int, bearing_deg double, length_m double, builtup_pct double, group_bearing_deg double, group_total_len_m double")
+    edges = spark.createDataFrame([(1, r, 3) for r in range(4)], "year int, row int, col int")
+    peaks = spark.createDataFrame([(1, 2, 30.0), (1, 1, 90.004)], "year int, peak int, bearing_deg double")
+    out = {r.year: r for r in ho.line_summary(segs, layers=spark.createDataFrame([(1,), (2,)], "year int"), edges=edges, peaks=peaks).collect()}
+    assert (out[1].edge_px, out[1].peak_bearings_deg) == (4, [90.0, 30.0])
+    assert (out[2].edge_px, out[2].peak_bearings_deg, out[2].n_segments) == (0, [], 0)
+
+
 def test_circular_grouping(spark):
     rows = [(1, 179.0, 30.0), (2, 1.0, 20.0)]
     df = spark.createDataFrame(rows, "seg int, bearing_deg double, length_m double").withColumn("year", F.lit(1))
