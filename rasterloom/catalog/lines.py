@@ -299,9 +299,14 @@ def near_box(spark, d):
     return segments(spark, d).where(ve.near_box(F.col("x1"), F.col("y1"), box, 150.0)).select("fid")
 
 
-_CELLS = """, sn AS (SELECT *, CAST(greatest(1, ceil(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 2.5)) AS INT) AS n FROM segments WHERE highway IN ('motorway', 'trunk', 'primary', 'secondary')),
- cells AS (SELECT DISTINCT CAST(floor((y1 + (y2 - y1) * (i / n::DOUBLE) - 1200000.0::DOUBLE) / -10.0::DOUBLE) AS INT) AS "row", CAST(floor((x1 + (x2 - x1) * (i / n::DOUBLE) - 600000.0::DOUBLE) / 10.0::DOUBLE) AS INT) AS col
-   FROM (SELECT *, unnest(range(n + 1)) AS i FROM sn))"""
+_CELLS = """, uv AS (SELECT fid, (x1 - 600000.0::DOUBLE) / 10.0::DOUBLE AS u1, (x2 - 600000.0::DOUBLE) / 10.0::DOUBLE AS u2, (y1 - 1200000.0::DOUBLE) / -10.0::DOUBLE AS v1, (y2 - 1200000.0::DOUBLE) / -10.0::DOUBLE AS v2
+   FROM segments WHERE highway IN ('motorway', 'trunk', 'primary', 'secondary')),
+ crossing AS (SELECT fid, 0.0::DOUBLE AS t FROM uv UNION ALL SELECT fid, 1.0::DOUBLE FROM uv
+  UNION ALL SELECT fid, (i - u1) / (u2 - u1) FROM (SELECT *, unnest(range(CAST(floor(least(u1, u2)) AS BIGINT) + 1, CAST(ceil(greatest(u1, u2)) AS BIGINT))) AS i FROM uv)
+  UNION ALL SELECT fid, (i - v1) / (v2 - v1) FROM (SELECT *, unnest(range(CAST(floor(least(v1, v2)) AS BIGINT) + 1, CAST(ceil(greatest(v1, v2)) AS BIGINT))) AS i FROM uv)),
+ middle AS (SELECT fid, (t + after) / 2 AS m FROM (SELECT fid, t, lead(t) OVER (PARTITION BY fid ORDER BY t) AS after FROM crossing) WHERE after - t > 0.000000001::DOUBLE
+  UNION ALL SELECT fid, t FROM crossing WHERE t IN (0, 1)),
+ cells AS (SELECT DISTINCT CAST(floor(v1 + (v2 - v1) * m) AS INT) AS "row", CAST(floor(u1 + (u2 - u1) * m) AS INT) AS col FROM middle JOIN uv ON uv.fid = middle.fid)"""
 
 
 def _cells(spark, d):

@@ -21,14 +21,14 @@ def qc_report(spark, d):
 
 
 @query("sample_summary", f"""
-, s AS (SELECT "year", "row", col FROM (SELECT *, row_number() OVER (PARTITION BY "year" ORDER BY md5((42 + "year") || ':' || "row" || ':' || col)) AS rn FROM composite) WHERE rn <= 500 AND "year" = 1998),
+, s AS (SELECT "year", "row", col FROM (SELECT *, row_number() OVER (PARTITION BY "year" ORDER BY md5((42 + "year") || ':' || "row" || ':' || col)) AS rn FROM composite) WHERE rn <= {cfg.SAMPLES_PER_YEAR}),
  l AS ({_LONG9.replace('FROM composite', 'FROM composite SEMI JOIN s USING ("year", "row", col)')})
-SELECT feature, {rq('avg(value)')} AS mean, {rq('stddev_samp(value)')} AS std, {rq('min(value)')} AS min, {rq('median(value)')} AS median, {rq('max(value)')} AS max FROM l GROUP BY 1""", needs=("composite",))
+SELECT "year", feature, {rq('avg(value)')} AS mean, {rq('stddev_samp(value)')} AS std, {rq('min(value)')} AS min, {rq('median(value)')} AS median, {rq('max(value)')} AS max FROM l GROUP BY 1, 2""", needs=("composite",))
 def sample_summary(spark, d):
-    """Feature summary of one year's pixel sample."""
-    sample = sa.sample_pixels(composite_table(spark, d), 500).where("year = 1998")
-    table = st.feature_statistics(sample, cfg.FEATURES_9)
-    return rounded(table.select("feature", "mean", "std", "min", "median", "max"), "mean", "std", "min", "median", "max")
+    """Feature summary of every year's pixel sample."""
+    sample = sa.sample_pixels(composite_table(spark, d))
+    table = st.feature_statistics(sample, cfg.FEATURES_9, ["year"])
+    return rounded(table.select("year", "feature", "mean", "std", "min", "median", "max"), "mean", "std", "min", "median", "max")
 
 
 @query("validity_percent", f"""

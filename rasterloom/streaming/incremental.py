@@ -52,7 +52,8 @@ def extend_years(
 ) -> StreamingQuery:
     """Run a yearly computation on each arriving batch of whole years and add
     the years that have no result yet. Rows of a year that an earlier batch
-    has finished cannot be merged into its result, so they stop the stream; a
+    has finished cannot be merged into the result of any computation, so they
+    stop the stream (composites take them: `composites.extend_composite`); a
     batch that is repeated after a failure writes its own years again."""
     def add(batch: DataFrame, batch_id: int) -> None:
         finished = sinks.finished_years(batch.sparkSession, out)
