@@ -9,16 +9,19 @@ part shrinks by orders of magnitude.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators.focal import TILE, Extent
 from rasterloom.session import checkpoint
 
-SALTS = 8
+# Rows of a table that need no spreading, and the most keys that get it.
+SMALL = 100_000
+PARTS = 10_000
 
 
 def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,39 +84,65 @@ def _border_edges(local: DataFrame, keys: list[str], tile: int) -> DataFrame:
     return one_way.unionByName(one_way.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def _salted_lookup(big: DataFrame, small: DataFrame, on: list[str], spread_by: str) -> DataFrame:
-    """Equi-join of a table with hot keys to a table with unique keys: the
-    unique side is replicated over a few salts, the other side is spread."""
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
-    spread = big.withColumn("_salt", salt)
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spread.join(copies, [*on, "_salt"]).drop("_salt")
+def _hot_keys(big: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Keys with more rows than a ten thousandth of the table and the number
+    of parts each is split into: at most PARTS rows, whatever the table."""
+    limit = max(SMALL // PARTS, -(-total // PARTS))
+    sizes = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    return sizes.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+
+
+def _spread_lookup(big: DataFrame, small: DataFrame, on: list[str], spread_by: str, total: int, how: str = "inner") -> DataFrame:
+    """Equi-join of a table of at most `total` rows, whose keys may be hot,
+    to a table with unique keys. A hot key is split into parts by its size
+    and only its row of the unique side is repeated; a table that one task
+    holds anyway is joined as it is."""
+    if total <= SMALL:
+        return big.join(small, on, how)
+    hot = F.broadcast(_hot_keys(big, on, total))
+    part = F.pmod(F.xxhash64(spread_by), F.coalesce("_parts", F.lit(1)).cast("bigint")).cast("int")
+    spread = big.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    copies = small.join(hot, on, "left").withColumn("_part", every).drop("_parts")
+    return spread.join(copies, [*on, "_part"], how).drop("_part")
 
 
 def _merge_labels(edges: DataFrame, keys: list[str]) -> DataFrame | None:
     """Contract the label graph. Every round each node joins its smallest
     neighbour, if smaller than itself, and follows that neighbour's own
     choice; edges are rewritten to the survivors. Rounds are checkpointed and
-    the graph at least halves about every round."""
+    the graph at least halves about every round. Returns (component, root)
+    of the labels that are not their own root."""
     steps = []
     edges = checkpoint(edges)
-    while not edges.isEmpty():
+    while total := edges.count():
         choice = edges.groupBy(*keys, "u").agg(F.least(F.col("u"), F.min("v")).alias("p"))
         onward = choice.select(*keys, F.col("u").alias("p"), F.col("p").alias("root"))
-        step = checkpoint(_salted_lookup(choice, onward, [*keys, "p"], "u").select(*keys, "u", "root"))
-        steps.append(step)
-        u = _salted_lookup(edges, step, [*keys, "u"], "v").select(*keys, F.col("root").alias("_u"), "v")
+        step = checkpoint(_spread_lookup(choice, onward, [*keys, "p"], "u", total).select(*keys, "u", "root"))
+        steps.append(step.where("u <> root"))
+        u = _spread_lookup(edges, step, [*keys, "u"], "v", total).select(*keys, F.col("root").alias("_u"), "v")
         second = step.withColumnRenamed("u", "v")
-        v = _salted_lookup(u, second, [*keys, "v"], "_u").select(*keys, F.col("_u").alias("u"), F.col("root").alias("v"))
+        v = _spread_lookup(u, second, [*keys, "v"], "_u", total).select(*keys, F.col("_u").alias("u"), F.col("root").alias("v"))
         edges = checkpoint(v.where("u <> v").distinct())
     if not steps:
         return None
-    mapping = steps[0].withColumnRenamed("u", "component")
-    for step in steps[1:]:
-        later = step.withColumnRenamed("root", "_next").withColumnRenamed("u", "root")
-        moved = mapping.join(later, [*keys, "root"], "left")
-        mapping = moved.select(*keys, "component", F.coalesce("_next", "root").alias("root"))
-    return mapping
+    return _flat(steps, keys)
+
+
+def _flat(steps: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Roots from the rounds' pointers by pointer doubling. Pointers lead to
+    smaller labels of the same component and only its smallest label never
+    has one, so each label's smallest pointer is enough."""
+    pointers = reduce(DataFrame.unionByName, steps).groupBy(*keys, "u").agg(F.min("root").alias("root"))
+    parents = checkpoint(pointers.withColumnRenamed("u", "component"))
+    while True:
+        # the next pointer of every root, looked up once for each root
+        later = parents.select(*keys, F.col("component").alias("root"), F.col("root").alias("_next"))
+        onward = checkpoint(parents.select(*keys, "root").distinct().join(later, [*keys, "root"]))
+        if onward.isEmpty():
+            return parents
+        moved = _spread_lookup(parents, onward, [*keys, "root"], "component", parents.count(), "left")
+        parents = checkpoint(moved.select(*keys, "component", F.coalesce("_next", "root").alias("root")))
 
 
 def component_sizes(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.columns import missing_columns
 from rasterloom.functions.geo import pixel_of
+from rasterloom.session import broadcast_if_small
 
 
 def validate_training_points(points: DataFrame) -> DataFrame:
@@ -33,11 +34,21 @@ def extract_at_points(pixels: DataFrame, points: DataFrame, affine, bands: Seque
     return placed.join(hits, ["row", "col"], "left")
 
 
-def chips(pixels: DataFrame, points: DataFrame, half: int = 15, tile: int = 64) -> DataFrame:
+# Points of one tile that one task serves.
+CROWD = 4096
+
+
+def chips(pixels: DataFrame, points: DataFrame, half: int = 15, tile: int = 64, crowd: int = CROWD) -> DataFrame:
     """All pixels within `half` rows and columns of each point (a square of
     2*half+1), long form. Points go to the up to four tiles their square
     touches; pixels stay where they are when the point list is small enough
-    to be broadcast by size, and are shuffled once by tile otherwise."""
+    to be broadcast by size, and are shuffled once by tile otherwise.
+
+    A tile with more than `crowd` points is split into portions of about that
+    many points, by a hash of the point, and its pixels are repeated for each
+    portion (tile^2 rows against `crowd` * (2*half+1)^2 results), so that any
+    number of points in one place spreads over the cluster. Points are told
+    apart by all their columns; rows that repeat wholly stay in one portion."""
     if 2 * half >= tile:
         raise ValueError("tile must be larger than the chip")
     def tiles(c):
@@ -51,5 +62,13 @@ def chips(pixels: DataFrame, points: DataFrame, half: int = 15, tile: int = 64)
     placed = pixels.withColumns({
         "_tr": F.floor(F.col("row") / tile).cast("int"), "_tc": F.floor(F.col("col") / tile).cast("int"),
     })
+    at = ["_tr", "_tc"]
+    sizes = spread.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd)
+    crowded = broadcast_if_small(sizes.select(*at, F.ceil(F.col("_n") / crowd).cast("int").alias("_portions")))
+    portions = F.coalesce("_portions", F.lit(1))
+    portion = F.pmod(F.xxhash64("point_id", "prow", "pcol"), portions.cast("bigint")).cast("int")
+    spread = spread.join(crowded, at, "left").withColumn("_portion", portion).drop("_portions")
+    every = F.explode(F.sequence(F.lit(0), portions - 1))
+    placed = placed.join(crowded, at, "left").withColumn("_portion", every).drop("_portions")
     near = (F.abs(F.col("row") - F.col("prow")) <= half) & (F.abs(F.col("col") - F.col("pcol")) <= half)
-    return placed.join(spread, ["_tr", "_tc"]).where(near).drop("_tr", "_tc", "prow", "pcol")
+    return placed.join(spread, [*at, "_portion"]).where(near).drop(*at, "_portion", "prow", "pcol")
