@@ -30,11 +30,31 @@ class Template:
     opening: str = "### "
     closing: str = "</turn>\n"
 
+    def __post_init__(self):
+        """Refuse templates whose control strings could arise anywhere but at
+        their own place in a turn, or whose titles could be misread."""
+        controls = (self.opening, self.closing)
+        for control in controls:
+            if len(control) < 2 or control[0].isspace() or regex.search(r"[\\:=]", control):
+                raise ValueError(f"a control string needs two characters, no space in front, and no colon, '=' or backslash: {control!r}")
+            if (self.closing + self.opening).startswith(control[1:]):
+                raise ValueError(f"a text's last character could complete {control!r}")
+        titles = [title for title, _ in self.roles.values()]
+        if len(set(titles)) < len(titles) or any(t.startswith("=") or regex.search(r"[\\:]", t) for t in titles):
+            raise ValueError("titles must differ, hold no colon or backslash, and not start with '='")
+        for head in [*titles, "="]:
+            frame = f"{self.closing}{self.opening}{head}: "
+            found = {m.start() for c in controls for m in regex.finditer(regex.escape(c), frame, overlapped=True)}
+            if found != {0, len(self.closing)}:
+                raise ValueError(f"a control string appears twice around {head!r}")
+
     def escape(self, text: str, name: bool = False) -> str:
-        r"""A backslash before every backslash, between neighbouring number
-        signs and inside "</": no run "##" and no "</" is left."""
+        r"""A backslash before every backslash and between the first two
+        characters of each control string, wherever they meet: with the
+        default template no "##" and no "</" is left, so no control string."""
         text = text.replace("\\", "\\\\")
-        text = regex.sub("#(?=#)", r"#\\", text).replace("</", "<\\/")
+        for first, second in {self.opening[:2], self.closing[:2]}:
+            text = regex.sub(f"{regex.escape(first)}(?={regex.escape(second)})", lambda m: m[0] + "\\", text)
         return text.replace(":", "\\:") if name else text
 
     def unescape(self, text: str) -> str:

@@ -97,7 +97,7 @@ def op8(spark, d):
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     turns = read(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     digest = chat_format.read_back(chat_format.format_turns(turns))
-    return digest.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return digest.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_invalid")
 
 
 @query("op9_bpe_stream")

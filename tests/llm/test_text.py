@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import string
 from collections import Counter
@@ -307,3 +308,29 @@ def test_pipeline_equals_its_stages_by_plain_means(spark):
     # a leak in other words may be found beyond the literal ones
     assert set(got) <= set(want) and len(want) - len(got) <= 0.02 * len(want)
     assert all(want[i] == h for i, h in got.items())
+
+
+@pytest.mark.parametrize("opening,closing", [("### ", "</turn>\n"), ("<|im|>", "<|end|>"), ("[[", "]]x"), ("ab", "cd")])
+def test_template_escapes_follow_its_control_strings(opening, closing):
+    """Random texts over the characters of the control strings come back, and
+    no control string is left in them or arises where they end."""
+    t = chat_format.Template(opening=opening, closing=closing)
+    rng = random.Random(1)
+    letters = sorted(set(opening + closing + "\\:=/ x"))
+    texts = ["", opening, closing, "\\" + closing, closing * 3, opening[:1] * 9]
+    texts += ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(3000)]
+    for text in texts:
+        assert opening not in t.escape(text) and closing not in t.escape(text)
+        for role in ("assistant", text):
+            parts = t.segments(role, text)
+            whole = "".join(x for x, _ in parts)
+            assert whole.count(opening) == 1 and whole.count(closing) == 1 and whole.endswith(closing)
+            assert t.parse(parts) == (role, text, text if role == "assistant" else "")
+
+
+@pytest.mark.parametrize("wrong", [
+    {"opening": "#"}, {"closing": "<<"}, {"opening": " ##"}, {"closing": "a:b"}, {"closing": "a\\b"}, {"opening": "a=b"},
+    {"roles": {"user": ("A", False), "assistant": ("A", True)}}, {"roles": {"user": ("x</turn>\n", False)}}])
+def test_ambiguous_templates_are_refused(wrong):
+    with pytest.raises(ValueError):
+        chat_format.Template(**wrong)
