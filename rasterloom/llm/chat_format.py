@@ -54,7 +54,8 @@ class Template:
         default template no "##" and no "</" is left, so no control string."""
         text = text.replace("\\", "\\\\")
         for first, second in {self.opening[:2], self.closing[:2]}:
-            text = regex.sub(f"{regex.escape(first)}(?={regex.escape(second)})", lambda m: m[0] + "\\", text)
+            if first + second in text:
+                text = regex.sub(f"{regex.escape(first)}(?={regex.escape(second)})", lambda m: m[0] + "\\", text)
         return text.replace(":", "\\:") if name else text
 
     def unescape(self, text: str) -> str:
