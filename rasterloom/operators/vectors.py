@@ -208,7 +208,10 @@ def nearest_distance(
     running windows, one window per column. Pass two takes, along each row, the minimum of
     (dx^2 + g^2) over columns; rows are independent, so strips of rows are
     worked on in parallel. Very wide rasters use strip=1; one row always
-    fits a task. Without any source the distance is NULL."""
+    fits a task. The distances are as many as the pixels, however few the
+    sources from which the planner estimates their size, so both sides of the
+    last join are sorted and none is broadcast. Without any source the
+    distance is NULL."""
     sy, sx = spacing
     places = sources.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
     cells = places.select("col").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(extent.rows - 1))).alias("row"), "col")
@@ -235,7 +238,7 @@ def nearest_distance(
         return pd.concat(parts) if parts else pd.DataFrame({"row": [], "col": [], "distance": []})
 
     near = strips.applyInPandas(envelope, "row int, col int, distance double")
-    return grid.join(near, ["row", "col"], "left")
+    return grid.join(near.hint("merge"), ["row", "col"], "left")
 
 
 def _row_minimum(src: np.ndarray, base: np.ndarray, out: np.ndarray) -> np.ndarray:
