@@ -271,20 +271,91 @@ AXIS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("bearing_deg", "
 
 def _rotated_box(rings: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Smallest rotated rectangle of each ring: one side lies on an edge of
-    the convex hull."""
+    the convex hull. Rings of about the same number of points are worked on
+    together. A ring without points gives NULL, one of a single point the
+    lengths 0 and no bearing."""
     for xs, ys in rings:
-        rows = []
-        for x, y in zip(xs, ys):
-            pts = np.unique(np.column_stack([x, y]), axis=0)
-            hull = _hull(pts)
-            edge = np.roll(hull, -1, axis=0) - hull
-            u = edge / np.hypot(edge[:, 0], edge[:, 1])[:, None]
-            along, across = hull @ u.T, hull @ np.stack([-u[:, 1], u[:, 0]])
-            w, h = np.ptp(along, axis=0), np.ptp(across, axis=0)
-            k = int(np.argmin(np.round(w * h, 6)))
-            ux, uy = u[k] if w[k] >= h[k] else (-u[k, 1], u[k, 0])
-            rows.append((np.degrees(np.arctan2(ux, uy)) % 180.0, max(w[k], h[k]), min(w[k], h[k])))
-        yield pd.DataFrame(rows, columns=["bearing_deg", "length", "width"])
+        out = np.full((len(xs), 3), np.nan)
+        size = np.array([0 if x is None else len(x) for x in xs], dtype=np.int64)
+        wide = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+        for n in np.unique(wide[size > 0]):
+            of_class = np.flatnonzero((wide == n) & (size > 0))
+            for part in np.array_split(of_class, -(-len(of_class) * n // (1 << 18))):
+                x, y = _padded(xs, size, part, n), _padded(ys, size, part, n)
+                if len(part) < 8:
+                    hulls = [_hull(np.unique(np.column_stack([p, q]), axis=0)) for p, q in zip(x, y)]
+                    count = np.array([len(h) for h in hulls])
+                    hull = np.zeros((len(part), max(count.max(), 1), 2))
+                    for i, h in enumerate(hulls):
+                        if len(h):
+                            hull[i] = h[np.minimum(np.arange(hull.shape[1]), len(h) - 1)]
+                else:
+                    hull, count = _hulls(x, y)
+                step = max((1 << 21) // hull.shape[1] ** 2, 1)
+                for i in range(0, len(part), step):
+                    out[part[i:i + step]] = _boxes(hull[i:i + step], count[i:i + step])
+        yield pd.DataFrame(out, columns=["bearing_deg", "length", "width"])
+
+
+def _padded(values: pd.Series, size: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
+    """One row for each ring; its last point repeats, which moves no hull."""
+    flat = np.concatenate([values.iloc[i] for i in part])
+    start = np.cumsum(size[part]) - size[part]
+    return flat[start[:, None] + np.minimum(np.arange(n), size[part, None] - 1)]
+
+
+def _boxes(hull: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Bearing, length and width for hulls (ring, point, x and y) of which the
+    first `count` points count and the others repeat one of them."""
+    each, m = np.arange(hull.shape[0])[:, None], np.arange(hull.shape[1])
+    edge = hull[each, np.where(m + 1 < count[:, None], m + 1, 0)] - hull
+    real = (m < count[:, None]) & (edge != 0).any(axis=2)
+    u = edge / np.where(real, np.hypot(edge[..., 0], edge[..., 1]), 1.0)[..., None]
+    x, y, ux, uy = hull[:, None, :, 0], hull[:, None, :, 1], u[..., 0, None], u[..., 1, None]
+    w, h = np.ptp(x * ux + y * uy, axis=2), np.ptp(y * ux - x * uy, axis=2)
+    k = np.argmin(np.where(real, np.round(w * h, 6), np.inf), axis=1)
+    at = each[:, 0], k
+    w, h, u, some = w[at], h[at], u[at], real.any(axis=1)
+    turned = np.round(w, 9) < np.round(h, 9)  # a square keeps the direction of its edge
+    bx, by = np.where(turned, -u[:, 1], u[:, 0]), np.where(turned, u[:, 0], u[:, 1])
+    bearing = np.where(some, np.degrees(np.arctan2(bx, by)) % 180.0, np.nan)
+    return np.column_stack([bearing, np.where(some, np.maximum(w, h), 0.0), np.where(some, np.minimum(w, h), 0.0)])
+
+
+def _hulls(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _hull for many rings of equally many points, point by point for all
+    of them at once. Returns the hulls, padded with their first points, and
+    the numbers of their points."""
+    order = np.lexsort((y, x), axis=1)
+    x, y = np.take_along_axis(x, order, 1), np.take_along_axis(y, order, 1)
+    fresh = np.ones(x.shape, dtype=bool)
+    fresh[:, 1:] = (x[:, 1:] != x[:, :-1]) | (y[:, 1:] != y[:, :-1])
+    rings, n = x.shape
+
+    def chain(points):
+        stack, top = np.zeros((rings, n), dtype=np.int64), np.zeros(rings, dtype=np.int64)
+        for i in points:
+            turn = np.flatnonzero(fresh[:, i] & (top >= 2))
+            while len(turn):
+                p, q = stack[turn, top[turn] - 2], stack[turn, top[turn] - 1]
+                x0, y0 = x[turn, p], y[turn, p]
+                left = (x[turn, q] - x0) * (y[turn, i] - y0) - (y[turn, q] - y0) * (x[turn, i] - x0)
+                turn = turn[left <= 0]
+                top[turn] -= 1
+                turn = turn[top[turn] >= 2]
+            new = np.flatnonzero(fresh[:, i])
+            stack[new, top[new]] = i
+            top[new] += 1
+        return stack, top - 1
+
+    (lower, n_low), (upper, n_up) = chain(range(n)), chain(range(n - 1, -1, -1))
+    count = n_low + n_up
+    m = np.arange(max(count.max(), 1))
+    each = np.arange(rings)[:, None]
+    from_upper = np.clip(m - n_low[:, None], 0, n - 1)
+    at = np.where(m < n_low[:, None], lower[each, np.minimum(m, n - 1)], upper[each, from_upper])
+    at = np.where(m < count[:, None], at, lower[:, :1])
+    return np.stack([x[each, at], y[each, at]], axis=2), count
 
 
 def _hull(pts: np.ndarray) -> np.ndarray:

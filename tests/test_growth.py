@@ -1,5 +1,7 @@
 """Steps whose cost must not outgrow their input."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,30 @@ def test_pixels_are_not_sent_to_their_lines(spark):
     whole = runs.open_pieces(pixels, 0, 0, 256, 3, 1.0)
     half = runs.open_pieces(pixels[pixels["row"] < 104], 0, 0, 100, 3, 1.0)
     assert len(whole) == 0 and 0 < len(half) < 30 * len(pixels)
+
+
+def test_rectangles_of_many_rings(rng):
+    """Rings of a batch together give what each gives alone; degenerate rings do not fail."""
+    points = [rng.integers(0, 9, (int(n), 2)).astype(float) for n in rng.integers(3, 21, 400)]
+    degenerate = [None, np.zeros((0, 2)), np.ones((4, 2)), np.array([(0.0, 0.0), (3.0, 4.0), (0.0, 0.0)])]
+    def boxes(rings):
+        xs, ys = (pd.Series([None if r is None else r[:, k] for r in rings], dtype=object) for k in (0, 1))
+        return pd.concat(ve._rotated_box(iter([(xs, ys)]))).to_numpy()
+    got = boxes(points)
+    assert np.allclose(got, np.concatenate([boxes([p]) for p in points]), atol=1e-9)
+    for p, (_, length, width) in zip(points, got):
+        a = np.radians(np.arange(0, 180, 0.5))
+        w, h = np.ptp(p @ [np.cos(a), np.sin(a)], axis=0), np.ptp(p @ [-np.sin(a), np.cos(a)], axis=0)
+        assert length * width <= (w * h).min() + 1e-9
+    none, empty, one, line = boxes(degenerate)
+    assert np.isnan(none).all() and np.isnan(empty).all() and np.isnan(one[0]) and one[1] == one[2] == 0
+    assert np.allclose(line[1:], [5, 0], atol=1e-9)
+    # one call of numpy serves many rings: a batch of triangles is no loop over them
+    calls = []
+    hulls = ve._hull
+    try:
+        ve._hull = lambda pts: calls.append(1) or hulls(pts)
+        boxes([rng.random((4, 2)) for _ in range(5000)])
+    finally:
+        ve._hull = hulls
+    assert len(calls) == 0
