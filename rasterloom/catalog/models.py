@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterloom import config as cfg
-from rasterloom.catalog.base import composite, grid, labelled, query, rounded
+from rasterloom.catalog.base import composite, composite_table, grid, labelled, query, rounded
 from rasterloom.operators import accuracy as ac, change as ch, classify as cl, sampling as sa
 from rasterloom.session import checkpoint
 
 KEYS = ("year", "row", "col")
 
 
-def _samples(spark, d):
-    rows = labelled(spark, d).select(*KEYS, *cfg.FEATURES_9, "class")
+def _samples(spark, d, table=None):
+    rows = labelled(spark, d, table).select(*KEYS, *cfg.FEATURES_9, "class")
     return sa.stratified_sample(rows, keys=KEYS)
 
 
-def _model(spark, d):
-    learn, test = sa.train_test_split(checkpoint(_samples(spark, d)), keys=KEYS)
+def _model(spark, d, table=None):
+    learn, test = sa.train_test_split(checkpoint(_samples(spark, d, table)), keys=KEYS)
     return cl.train(learn, cfg.FEATURES_9, keys=KEYS), test
 
 
 @query("rf_predict")
 def rf_predict(spark, d):
-    """Every pixel of every year classified, then the area table."""
-    model, _ = _model(spark, d)
-    return rounded(ch.class_area_table(cl.classify(model, composite(spark, d))), "area_ha", "area_pct")
+    """Every pixel of every year classified, then the area table. The medians
+    cost more than the forest, so the composite is written once for both."""
+    table = composite_table(spark, d)
+    model, _ = _model(spark, d, table)
+    return rounded(ch.class_area_table(cl.classify(model, table)), "area_ha", "area_pct")
 
 
 @query("rf_evaluate")

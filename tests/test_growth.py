@@ -71,3 +71,11 @@ def test_rectangles_of_many_rings(rng):
     finally:
         ve._hull = hulls
     assert len(calls) == 0
+
+
+def test_forest_reads_one_composite(spark):
+    from rasterloom.catalog import models
+
+    out = models.rf_predict(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 24
