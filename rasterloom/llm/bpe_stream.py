@@ -22,9 +22,12 @@ from __future__ import annotations
 
 import codecs
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +62,13 @@ class MergeTable:
             if a not in made or b not in made:
                 raise ValueError(f"the merge list is not proper at ({a!r}, {b!r})")
             made.add(a + b)
-        self.longest: dict[str, int] = {}  # by its first three symbols, the size of the longest token
+        sizes: dict[str, set[int]] = {}
         for t in vocab:
-            size = len(t.removesuffix(END)) if t != END else len(t)
-            self.longest[t[:3]] = max(size, self.longest.get(t[:3], 3))
-        self.stays = Memo(self._stays, 100_000)
+            sizes.setdefault(t[:3], {2, 1}).add(len(t.removesuffix(END)) if t != END else len(t))
+        # by their first three characters, the sizes of the tokens, largest first
+        self.sizes = {start: tuple(sorted(found, reverse=True)) for start, found in sizes.items()}
+        self.names = {i: t for t, i in vocab.items()}
+        self.follows = Memo(self._follows, 100_000)
         self.reachable = Memo(self._reachable, len(vocab) + 1)
         self.lookahead = self._lookahead(merges)
 
@@ -144,6 +149,11 @@ class MergeTable:
                 return True
             consumed, token = self.rank[parts], parts[0]
 
+    def _follows(self, pair: tuple[int | None, int]) -> bool:
+        """Whether a token is reachable and stays apart from the one before it, if any."""
+        before, token = self.names.get(pair[0]), self.names[pair[1]]
+        return self.reachable[token] and (before is None or self._stays((before, token)))
+
     def encode(self, symbols: list[str]) -> list[str]:
         """The same tokens as `reduce`, found left to right: the longest token
         that stays apart from the one before it, stepping back from dead ends.
@@ -152,26 +162,31 @@ class MergeTable:
         n, text = len(symbols), "".join(symbols)
         if n == 1:
             return [text]
-        ends = text.endswith(END) and len(text) > n
-        vocab, stays, reachable, longest = self.vocab, self.stays, self.reachable, self.longest
-        out: list[str] = []
-        pos, dead, size = 0, (), min(n, longest.get(text[:3], 3))
+        return [self.names[i] for i in self.split(text, n, text.endswith(END) and len(text) > n)]
+
+    def split(self, text: str, n: int, ends: bool) -> list[int]:
+        """As `encode`, ids for a text of n symbols; `ends`: the last one
+        carries the end-of-word mark."""
+        known, follows, sizes = self.vocab.get, self.follows, self.sizes
+        if n == 1:
+            return [self.vocab[text]]
+        out: list[int] = []
+        pos, dead, most, last = 0, (), n, None
         while pos < n:
-            while size:
+            for size in sizes.get(text[pos : pos + 3], (2, 1)):
+                if size > most:
+                    continue
                 stop = pos + size
-                token = text[pos:stop] if stop < n or not ends else text[pos:]
-                if token in vocab and stop not in dead and (not out or stays[out[-1], token]) and reachable[token]:
+                token = known(text[pos:stop] if stop < n or not ends else text[pos:])
+                if token is not None and follows[last, token] and stop not in dead:
+                    out.append(token)
+                    pos, most, last = stop, n - stop, token
                     break
-                size -= 1
-            if size:
-                out.append(token)
-                pos = stop
-                size = min(n - pos, longest.get(text[pos : pos + 3], 3))
             else:
                 dead = {*dead, pos}
-                token = out.pop()
-                size = len(token) - 4 * (ends and pos == n) - 1
-                pos -= size + 1
+                most = len(self.names[out.pop()]) - 1
+                pos -= most + 1
+                last = out[-1] if out else None
         return out
 
 
@@ -181,12 +196,13 @@ class Transducer:
     At most `lookahead + block` symbols and one token are held at any time."""
 
     def __init__(self, table: MergeTable, block: int = 64):
-        self.table, self.block, self.tail = table, block, []
+        self.table, self.tail = table, []
+        self.room = table.lookahead + block
 
     def push(self, symbols: Iterable[str]) -> Iterator[str]:
         for s in symbols:
             self.tail.append(s)
-            if len(self.tail) >= self.table.lookahead + self.block:
+            if len(self.tail) >= self.room:
                 yield from self._settle(len(self.tail) - self.table.lookahead)
 
     def finish(self) -> Iterator[str]:
@@ -228,28 +244,31 @@ class Tokenizer:
             raise ValueError(f"unknown normalisers {kinds}")
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.sign = next((c for c in "".join(self.special) if all(c in t for t in self.special)), None)  # no special token without it
         self.symbols = byte_symbols()
+        self.room = Transducer(self.table).room
         self.word_ids = Memo(self._word, words)
         self.chunk_ids = Memo(self._chunk, chunks)
         self.utf8 = {i: t.encode() for i, t in self.surface.items()}
 
     def _word(self, word: str) -> bytes:
-        symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += END
-        ids = self.table.vocab
-        return pack_ids([ids[t] for t in self._tokens(symbols)])
+        return pack_ids(self._ids(word.encode().decode("latin-1").translate(self.symbols)))
 
-    def _tokens(self, symbols: list[str]) -> Iterator[str]:
+    def _ids(self, symbols: str) -> list[int]:
+        """Ids of a word given as byte symbols without the end-of-word mark."""
+        if len(symbols) < self.room:  # all of it stays undecided up to its end
+            return self.table.split(symbols + END, len(symbols), True)
         machine = Transducer(self.table)
-        yield from machine.push(symbols)
-        yield from machine.finish()
+        tokens = chain(machine.push([*symbols[:-1], symbols[-1] + END]), machine.finish())
+        return [self.table.vocab[t] for t in tokens]
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+        if text.isascii():
+            text = text.lower()
+        elif any(unicodedata.category(c) == "Cn" for c in text):
             return self._unknown(text)
-        text = compose(text)
-        # per character, as the file's library does: a final sigma is no special case
-        text = text.replace("Σ", "σ").lower()
+        else:  # per character, as the file's library does: a final sigma is no special case
+            text = compose(text).replace("Σ", "σ").lower()
         get = self.word_ids
         if len(text) < 64:
             if text.isalpha():
@@ -267,15 +286,10 @@ class Tokenizer:
 
             self.library = Library.from_file(self.path)
         words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        ids, out = self.table.vocab, []
-        for word, _ in words:
-            symbols = list(word)
-            symbols[-1] += END
-            out += [ids[t] for t in self._tokens(symbols)]
-        return pack_ids(out)
+        return pack_ids([i for word, _ in words for i in self._ids(word)])
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.marks is None or not self.marks.search(chunk):
+        if self.marks is None or (self.sign and self.sign not in chunk) or not self.marks.search(chunk):
             return self._plain(chunk)
         out, at = [], 0
         for m in self.marks.finditer(chunk):
@@ -289,7 +303,10 @@ class Tokenizer:
 
 
 def pack_ids(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 def compose(text: str) -> str:
