@@ -17,6 +17,7 @@ COSINE and the README.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -213,7 +214,7 @@ class Item:
     @cached_property
     def halves(self) -> set[bytes]:
         """All sequences of RUN / 2 words of the item."""
-        raw = np.array(self.words, "<u4").tobytes()
+        raw = array("I", self.words).tobytes()
         return {raw[4 * i : 4 * i + 2 * RUN] for i in range(len(self.words) - RUN // 2 + 1)}
 
     def passage(self, near: list[int]) -> bool:
@@ -221,7 +222,7 @@ class Item:
         if len(self.words) < RUN:
             return False
         # RUN words in a row hold RUN / 2 that start at a multiple of RUN / 2
-        raw = np.array(near, "<u4").tobytes()
+        raw = array("I", near).tobytes()
         if any(raw[at : at + 2 * RUN] in self.halves for at in range(0, len(raw), 2 * RUN)):
             runs: dict = {}
             for x in near:
@@ -336,9 +337,10 @@ def _candidates(rows: list[np.ndarray], queries: dict, table: np.ndarray, cosine
             for (_, _, w), b in zip(span, begin, strict=False):
                 cells[b * step : b * step + len(w)] = _bucket(w, len(table) - 1)
             cells = cells.reshape(-1, step)
-            x = table[cells[:, 0]]
+            x = table.take(cells[:, 0], axis=0, mode="clip")  # all are in range: no check for each
+            more = np.empty_like(x)
             for c in cells.T[1:]:
-                x += table[c]
+                x += table.take(c, axis=0, out=more, mode="clip")
             sizes = _sizes(x, longest)
             products = all_of[step] @ x.T
             lo_q = 0
