@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, documents, documents_columns, give_back, pack, partitions, shared_folder, unpack
+from .common import bounded_batches, documents, documents_columns, forget, give_back, pack, partitions, shared_folder, unpack
 
 BLOCK_BYTES = 2 << 20
 ASK, TELL = 0, 1  # kinds of exchange rows: for a bucket's reducer; for a block as it is
@@ -56,6 +56,7 @@ def make_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     spark = df.sparkSession
 
     def run(batches):
+        forget()
         press = zstandard.ZstdCompressor(level=3)
         part, n, ids, texts, rest, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
@@ -76,6 +77,8 @@ def make_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 held += len(t)
         if texts:
             yield block()
+        del ids, texts, rest
+        give_back()
 
     bounded_batches(spark)
     name, buckets = f"blocks_{uuid.uuid4().hex}", partitions(spark)
@@ -118,6 +121,7 @@ def ask(blocks: DataFrame, speak: Callable[[Block, list, int], Iterator[tuple[in
                 if rows:
                     bucket, kind, packed = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([block.number] * len(rows), pa.int64()), pa.array(kind, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "block", "kind", "data"])
+        give_back()
 
     source = blocks.select("block", "docs", "text") if told is None else with_told(blocks, told)
     return source.mapInArrow(run, EXCHANGE)
@@ -179,6 +183,7 @@ def finish(blocks: DataFrame, told: DataFrame, schema: str, conclude: Callable[[
                         rows, size = [], 0
                 if rows:
                     yield _table(rows, types, names)
+        give_back()
 
     return with_told(blocks, told).mapInArrow(run, schema)
 
@@ -192,6 +197,7 @@ def finish_rows(blocks: DataFrame, told: DataFrame, schema: StructType, conclude
             for block, data in _blocks(b):
                 for out in conclude(block, data):
                     yield out.rename_columns(names)
+        give_back()
 
     return with_told(blocks, told, "rest").mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, documents, id_out, memo, slices
+from .common import Memo, documents, give_back, id_out, memo, slices
 
 END = "</w>"
 
@@ -379,5 +379,6 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 out.append((len(numbers), ids, "".join([*pieces, decoder.finish()])))
             n, ids, texts = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        give_back()
 
     return documents(df, id_col, text_col).mapInArrow(run, ENCODED).withColumn("doc_id", id_out())

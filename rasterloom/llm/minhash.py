@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, checkpoint, documents, id_out, memo, mix64, random_odd
+from .common import Memo, checkpoint, documents, give_back, id_out, memo, mix64, random_odd
 from .graph import connected_components
 
 SHINGLE = 5
@@ -78,6 +78,7 @@ def _sketches(df: DataFrame, k: int, size: int) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sketches.append(s[:k].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sketch"])
+        give_back()
 
     return df.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
@@ -131,6 +132,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
                 keep = share >= similarity - np.where(exact, 1e-9, slack)
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(keep)) for c in part.columns[:2]), pa.array(share[keep])], ["a", "b", "estimate"])
+        give_back()
 
     one = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
     two = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"), "n")
@@ -144,11 +146,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, share: tuple[int, int], size:
         unpress = zstandard.ZstdDecompressor()
         known, held = {}, 0  # sets of texts seen before, up to a bound
 
-        def words(packed: bytes) -> frozenset:
+        def words(packed: bytes) -> np.ndarray:
             nonlocal held
             found = known.get(packed)
             if found is None:
-                found = frozenset(shingle_set(unpress.decompress(packed), size).tolist())
+                found = shingle_set(unpress.decompress(packed), size)
                 if held > HELD:
                     known.clear()
                     held = 0
@@ -160,10 +162,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, share: tuple[int, int], size:
             keep = []
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 left, right = words(x), words(y)
-                both = len(left & right)
+                both = len(np.intersect1d(left, right, assume_unique=True))
                 if share[1] * both >= share[0] * (len(left) + len(right) - both):
                     keep.append(i)
             yield b.take(pa.array(keep, pa.int64())).select(["a", "b"])
+        known.clear()
+        give_back()
 
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
     return checkpoint(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
@@ -194,6 +198,8 @@ def _cluster_links(lists: DataFrame, texts: DataFrame, share: tuple[int, int], s
                 sets.append(shingle_set(unpress.decompress(packed), size))
         if key:
             yield from _forest(key, nodes, blocks, sets, share)
+        del nodes, blocks, sets
+        give_back()
 
     sorted_rows = placed.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node")
     return checkpoint(sorted_rows.mapInArrow(run, "a long, b long"))

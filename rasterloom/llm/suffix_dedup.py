@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import ASK, TELL, Block, answer, ask, by_bucket, finish, finish_rows, make_blocks, planes, unplanes
-from .common import id_out, mix64, pack, random_odd, unpack
+from .common import forget, id_out, mix64, pack, random_odd, unpack
 
 LENGTH = 50
 PIECE = 20
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 PARTS = 8  # a bucket's strings are sorted in so many parts, one after the other
 _FIRST = np.array([1 << 8 * k for k in range(8)], np.uint64)
 
@@ -206,6 +206,7 @@ def _fragments(block: Block, length: int):
 
 def _seen(length: int):
     def speak(block: Block, told: list, n: int):
+        forget()
         first, _, h = _fragments(block, length)
         if not len(first):
             return
@@ -225,6 +226,7 @@ def _seen(length: int):
 
 
 def _recurring(rows):
+    forget()
     parts = [unpack(data, "<u4", "u1", "u1") for _, data in rows]
     check, many = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
     _, group = np.unique(check, return_inverse=True)
@@ -239,6 +241,7 @@ def _recurring(rows):
 
 def _send(length: int):
     def speak(block: Block, told: list, n: int):
+        forget()
         if not told:
             return
         first, count, h = _fragments(block, length)
@@ -273,11 +276,13 @@ def _intervals(lo: np.ndarray, hi: np.ndarray) -> bytes:
 
 def _decide(length: int):
     def decide(rows):
+        forget()
         asked = []
         for block, data in rows:
             c, f, i, part, body = unpack(data, "u1", "u1", "u1", "u1", "u1")
             size = c.astype(np.int64) + length - 1
-            asked.append((block, c.astype(np.int64), unplanes(f, "<u4").astype(np.int64), unplanes(i, "<i8"), part, np.cumsum(size) - size, body.tobytes()))
+            # the strings end the row; they are taken from it where they are
+            asked.append((block, c.astype(np.int64), unplanes(f, "<u4").astype(np.int64), unplanes(i, "<i8"), part, np.cumsum(size) - size + len(data) - len(body), data))
         for p in range(PARTS):
             yield from decide_part([(block, c[k], f[k], i[k], at[k], raw) for block, c, f, i, part, at, raw in asked if len(k := np.flatnonzero(part == p))])
 
@@ -329,6 +334,7 @@ def _decide(length: int):
 
 def _kept(with_text: bool):
     def conclude(block: Block, told: list):
+        forget()
         edge = np.zeros(len(block.text) + 1, np.int32)
         for data in told:
             lo, hi = (unplanes(x, "<u4").astype(np.int64) for x in unpack(data, "u1", "u1"))

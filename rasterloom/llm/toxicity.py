@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_batches, documents, give_back, id_out
+from .common import Memo, bounded_batches, documents, forget, give_back, id_out
 
 PREFIXES = (4, 5, 6)
 STRIP = ".,;:!?()[]{}\"'`«»„“”…-*_"
@@ -240,6 +240,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
 
     @F.arrow_udf("boolean")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         s = model.scorer()
         for b in batches:
             parts = [[s.score(t or "") < threshold for t in b.slice(at, 256).to_pylist()] for at in range(0, len(b), 256)]
