@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, checkpoint, documents, hash_words, id_out, partitions, slices
+from .common import NO_ID, checkpoint, documents, forget, give_back, hash_words, id_out, partitions, slices
 
 FEATURES = 2048
 RANK = 128
@@ -49,14 +49,18 @@ WORDS = "doc_id long, words binary"
 
 def _hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the words of all texts, without case and surrounding
-    punctuation, and where each text starts and ends."""
-    plain = pc.utf8_lower(pc.utf8_normalize(texts.cast(pa.string()), "NFC"))
-    lists = pc.ascii_split_whitespace(plain)
+    punctuation, and where each text starts and ends. Every distinct word is
+    hashed once: neither case nor composition reaches across white space."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
     at = lists.offsets.to_numpy().astype(np.int64)
-    words = pc.utf8_trim(lists.flatten(), PUNCTUATION)
+    coded = lists.flatten().dictionary_encode()
+    words = pc.utf8_trim(pc.utf8_lower(pc.utf8_normalize(coded.dictionary, "NFC")), PUNCTUATION)
     some = pc.not_equal(words, "")
-    kept = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))]
-    return (hash_words(words.filter(some)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), kept[at - at[0]]
+    known = np.zeros(len(words), np.uint32)  # 0: nothing but punctuation
+    known[some.to_numpy(zero_copy_only=False)] = (hash_words(words.filter(some)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    flat = known[coded.indices.to_numpy()]
+    kept = np.r_[0, np.cumsum(flat != 0)]
+    return flat[flat != 0], kept[at - at[0]]
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -67,40 +71,33 @@ def word_hashes(text: bytes) -> np.ndarray:
 def hashed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, words): little-endian 32-bit word hashes of every whole text, written once."""
     def run(batches):
+        forget()
         for b in slices(batches):
             flat, at = _hashes_of(b.column(1))
             ends = pa.py_buffer((at * 4).astype(np.int32).tobytes())
             rows = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, ends, pa.py_buffer(flat.astype("<u4").tobytes())])
             yield pa.RecordBatch.from_arrays([b.column(0), rows], ["doc_id", "words"])
+        give_back()
 
     return checkpoint(documents(df, id_col, text_col).mapInArrow(run, WORDS))
 
 
 def _blocks(rows: list[bytes], size: int, features: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Counts of hashed words for up to 2048 blocks of `size` words at a time:
+    """Counts of hashed words for up to 1024 blocks of `size` words at a time:
     (row of each block, its number in the row, float32 matrix)."""
-    row, number, cells, n = [], [], [], 0
-    for r, data in enumerate(rows):
-        words = np.frombuffer(data, "<u4")
-        for lo in range(0, len(words), size * 1024):
-            part = words[lo : lo + size * 1024]
-            k = -(-len(part) // size)
-            row.append(np.full(k, r))
-            number.append(lo // size + np.arange(k))
-            cells.append((np.arange(len(part)) // size + n) * features + (part >> np.uint32(8)) % np.uint32(features))
-            n += k
-            if n >= 1024:
-                yield np.concatenate(row), np.concatenate(number), _counts(cells, n, features)
-                row, number, cells, n = [], [], [], 0
-    if n:
-        yield np.concatenate(row), np.concatenate(number), _counts(cells, n, features)
-
-
-def _counts(cells: list, n: int, features: int) -> np.ndarray:
-    out = np.zeros(n * features, np.float32)
-    flat = np.concatenate(cells).astype(np.int64)
-    np.add.at(out, flat, np.float32(1))
-    return out.reshape(n, features)
+    flat = np.frombuffer(b"".join(rows), "<u4")
+    words = np.array([len(data) // 4 for data in rows], np.int64)
+    blocks = -(-words // size)
+    row = np.repeat(np.arange(len(rows)), blocks)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    held = np.minimum(size, words[row] - number * size)
+    ends = np.r_[0, np.cumsum(held)]
+    for lo in range(0, len(row), 1024):
+        hi = min(lo + 1024, len(row))
+        cells = np.repeat(np.arange(hi - lo) * features, held[lo:hi]) + _bucket(flat[ends[lo] : ends[hi]], features)
+        out = np.zeros((hi - lo) * features, np.float32)
+        np.add.at(out, cells, np.float32(1))
+        yield row[lo:hi], number[lo:hi], out.reshape(-1, features)
 
 
 @dataclass
@@ -134,12 +131,14 @@ def _summed(df: DataFrame, width: int) -> np.ndarray | None:
 def document_frequencies(words: DataFrame, features: int = FEATURES) -> np.ndarray:
     """Passages that hold each feature, and at the end the number of passages, over all documents."""
     def run(batches):
+        forget()
         total = np.zeros(features + 1)
         for b in batches:
             for _, _, m in _blocks(b.column(1).to_pylist(), BLOCK * PASSAGE, features):
                 total[:-1] += (m > 0).sum(0)
                 total[-1] += len(m)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+        give_back()
 
     found = _summed(words.mapInArrow(run, "part binary"), features + 1)
     return np.zeros(features + 1) if found is None else found
@@ -155,6 +154,7 @@ def latent_space(words: DataFrame, features: int = FEATURES, rank: int = RANK, s
     test = np.random.default_rng(seed).standard_normal((features, min(rank + EXTRA, features))).astype(np.float32)
 
     def run(batches):
+        forget()
         total = np.zeros(test.shape)
         for b in batches:
             for _, _, m in _blocks(b.column(1).to_pylist(), BLOCK * PASSAGE, features):
@@ -162,6 +162,7 @@ def latent_space(words: DataFrame, features: int = FEATURES, rank: int = RANK, s
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
                 total += m.T @ (m @ test)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+        give_back()
 
     y = _summed(words.mapInArrow(run, "part binary"), test.size)
     if y is None or not np.any(y):
@@ -381,13 +382,21 @@ def _sizes(x: np.ndarray, longest: int) -> list[np.ndarray]:
     return [np.sqrt(np.maximum(s, 0)) for s in out]
 
 
+def _table(space: Space) -> np.ndarray:
+    """The axes and a last row of zeros, row by row in memory: the
+    decomposition leaves them column by column, and then every look-up of
+    rows would copy the whole table first."""
+    return np.ascontiguousarray(np.vstack([space.axes, np.zeros((1, space.axes.shape[1]), np.float32)]))
+
+
 def _search(words: DataFrame, space: Space, items: list[Item], cosine: float) -> DataFrame:
     queries = _queries(items, space)
-    axes = np.vstack([space.axes, np.zeros((1, space.axes.shape[1]), np.float32)])
+    axes = _table(space)
     schema = "doc_id long, item_id long, word long, cosine double, shared double, answer double"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
+        forget()
         for b in batches:
             ids, rows = b.column(0).to_pylist(), [np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()]
             out = []
@@ -402,6 +411,7 @@ def _search(words: DataFrame, space: Space, items: list[Item], cosine: float) ->
                         out.append((ids[r], item.id, place, best, shared, answer))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.float64()) for i, c in enumerate(zip(*out, strict=True))], names)
+        give_back()
 
     return words.mapInArrow(run, schema)
 
